@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import components, packing, survivorship, topn
-from placeloom.session import table
+from placeloom.llm import addresses, components, packing, survivorship, topn
+from placeloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _located(spark: SparkSession, d: str) -> DataFrame:
+    parts, _ = materialize(addresses.parsed(table(spark, d, "restaurants"), "id", "address", "city", "state", "postal_code"), "addresses")
+    return addresses.canonical(parts)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_location_pairs(_located(spark, d))
+
+
+def p2_locations(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.location_classes(_located(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.hash_to_min(table(spark, d, "venue_matches"), "id_a", "id_b")
 
@@ -34,7 +47,7 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed}
+    return {"p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed}
 
 
 P3_SQL = """
@@ -75,4 +88,4 @@ SELECT city, slug, id AS restaurant_id FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
+    return {"p2_found": p2_found, "p2_locations": p2_locations, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
