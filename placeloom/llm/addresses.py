@@ -210,10 +210,11 @@ def respelled(words: DataFrame, word: str, count: str, times: float = 2.0) -> Da
     return close.groupBy("word").agg(F.max(F.struct("m", "better")).alias("b")).select("word", "b.better")
 
 
-def canonical(parts: DataFrame) -> DataFrame:
+def canonical(parts: DataFrame, keep_unlocated: bool = False) -> DataFrame:
     """Adds ``location`` to parsed rows (``parts`` must be a stored table: it is read several times).
 
-    ``location`` is a key shared by all rows that denote one location; null where no street or city is known.
+    ``location`` is a key shared by all rows that denote one location; rows for which no street or city is known
+    have none and are left out, or kept with a null ``location``.
     Rules for what is missing, applied in this order:
     city: the ZIP's most frequent city; still none: no location.
     direction, type: the only one that rows of the same city, number and street write and that agrees with the
@@ -227,10 +228,12 @@ def canonical(parts: DataFrame) -> DataFrame:
 
     zip_city = corrected(parts.where("zip <> '' AND city <> ''").select("zip", "city"), "city").groupBy("zip", "city").count().groupBy("zip").agg(F.max_by("city", F.struct("count", "city")).alias("_zc"))
     rows = corrected(parts.where("number <> ''"), "city")
-    lost = rows.where("city = '' AND zip <> ''").join(zip_city, "zip").withColumn("city", F.col("_zc"))
+    lost = rows.where("city = ''").join(zip_city, "zip", "left").withColumn("city", F.coalesce("_zc", "city"))
     # a city that follows the street without a comma or a type could not be told apart before
-    lost = lost.withColumn("street", F.when(F.col("street").endswith(F.col("city")) & (F.length("street") > F.length("city")), F.expr("left(street, length(street) - length(city))")).otherwise(F.col("street")))
+    lost = lost.withColumn("street", F.when((F.col("city") != "") & F.col("street").endswith(F.col("city")) & (F.length("street") > F.length("city")), F.expr("left(street, length(street) - length(city))")).otherwise(F.col("street")))
     rows = corrected(rows.where("city <> ''").unionByName(lost.select(*rows.columns)), "street")
+    blank = [rows.where("city = ''"), corrected(parts.where("number = ''"), "city")]
+    rows = rows.where("city <> ''")
     block = ["city", "number", "street"]
     # at most one entry per direction and type, however many rows
     known = rows.where("direction <> '' OR type <> ''").groupBy(*block).agg(F.collect_set(F.struct("direction", "type")).alias("_known"))
@@ -244,7 +247,12 @@ def canonical(parts: DataFrame) -> DataFrame:
 
     j = j.withColumn("_d", only("direction", "type")).withColumn("_t", only("type", "direction"))
     key = F.concat_ws("|", "city", "number", "_d", "street", "_t", "unit")
-    return j.select("*", key.alias("location")).drop("_known", "direction", "type").withColumnsRenamed({"_d": "direction", "_t": "type"})
+    found = j.select("*", key.alias("location")).drop("_known", "direction", "type").withColumnsRenamed({"_d": "direction", "_t": "type"})
+    if not keep_unlocated:
+        return found
+    for b in blank:
+        found = found.unionByName(b.withColumn("location", F.lit(None).cast("string")))
+    return found
 
 
 def same_location_pairs(located: DataFrame) -> DataFrame:

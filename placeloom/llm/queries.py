@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import addresses, components, packing, survivorship, topn
+from placeloom.llm import addresses, components, entity_match, packing, survivorship, topn
 from placeloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.match_venues(table(spark, d, "restaurants"), table(spark, d, "places"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).where("posterior >= 0.5").select("restaurant_id", "place_id")
+
+
 def _located(spark: SparkSession, d: str) -> DataFrame:
     parts, _ = materialize(addresses.parsed(table(spark, d, "restaurants"), "id", "address", "city", "state", "postal_code"), "addresses")
     return addresses.canonical(parts)
@@ -47,7 +55,7 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed}
+    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed}
 
 
 P3_SQL = """
@@ -88,4 +96,4 @@ SELECT city, slug, id AS restaurant_id FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": p2_found, "p2_locations": p2_locations, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
+    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
