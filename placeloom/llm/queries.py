@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import addresses, components, entity_match, packing, survivorship, topn
+from placeloom.llm import addresses, components, entity_match, leakage, packing, survivorship, topn
 from placeloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +54,16 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed}
+    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_leaks": p8_leaks}
 
 
 P3_SQL = """
