@@ -1,0 +1,179 @@
+"""A small labelled table of personal information in running text, made by rule.
+
+Sentences are templates with typed slots; the slots are filled by generators of names, addresses,
+numbers and look-alikes, seeded, so the table is the same everywhere. It is the only training input of
+the tagger. Invented values follow the documentation ranges for numbers and domains.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+
+KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
+
+# Given names and the parts family names, streets and mail hosts are put together from.
+GIVEN = "Amina Bettina Carlos Dalia Desmond Edgar Elena Fiona Gustav Hana Imran Ingrid Ivan Joelle José Kiran Kofi Lorenzo Lucia Marta Mateo Nadia Oscar Petra Priya Quentin Rosa Rufus Samir Tessa Tomas Ulrike Viktor Wanda Xenia Yuki Yusuf Zora Anna Paul Maria Peter Laura Simon Claire Hugo Nora David Eva Leon Ruth Omar Ines Karl".split()
+FAMILY_HEAD = "Brun Dru Fer Gor Hol Ith Lun Mar Oka Pel Quis Sar Tar Vel Wex Zan Ber Cor Lin Mor Nor Ros Sch Wal".split()
+FAMILY_TAIL = "begum brandt dottir dovari hansel kowitz lassen mbeki menko quell rault risse shido thorpe vanti zuela mann sen ez ini ova".split()
+STREET_HEAD = "Almond Bracken Brisk Cindar Dovetu Eskdal Fenwi Foxglo Galdra Gristm Hawsep Hollin Ivorne Jaspeli Junip Kelpra Kesset Lindqu Lorimu Marlo Mistoc Morvan Nettle Norbes Opalin Oster Pelmor Pewtri Quill Ravelo Rushmu Saffra Sorrel Tanner Thistl Umbrak Verdan Wexcom Yarrow Zephir".split()
+STREET_TAIL = "brook cross dale field grove haven hurst landing moor point stead wick".split()
+STREET_TYPE = "St St. Street Str Ave Ave. Avenue Av Blvd Blvd. Boulevard Rd Rd. Road Dr Dr. Drive Ln Ln. Lane Ct Court Hwy Highway Pkwy Pky Parkway Way Wy Pl Pl. Place Ter Terr Terrace".split()
+CITIES = "Port Calder|Fort Belmaro|Saint Ovanne|Mount Kessler|Lake Tormund|East Pallory|New Hesterly|Villa Morenza|Glen Ardisso|Anvil Bight|Tamuna Reef|Semisova".split("|")
+CITY_HEAD = "Alder Bram Corbin Dunmor Elsin Farrow Grell Harken Istra Jorvan Keld Larch Mossel Norrin Ostl Penva Quarrin Rosk Selwin Tarn Ulver Vesper Wintle".split()
+CITY_TAIL = "bury mere port ridge ville".split()
+CHAINS = "Bagel Bureau|Brick & Basil Pizza|Burger Parlance|Cluck Republic|Crumb & Kettle|Curry Cartel|Goldleaf Coffee|Noodlewright|Pho Meridian|Poke Lagoon|Salsa Verdugo|Sandwich Almanac|Smokestack Junction|The Waffle Yard|Tumbleweed Taco Co.|Wok Parade".split("|")
+HOST = "inbox kitchenmail letters mail my-mail post quickpost tablepost".split()
+DOMAIN = "brinefork harborline larchnet ovenly plumtree quillbox stovepipe tornado-net".split()
+TOP = "example example.com example.net example.org test invalid".split()
+DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
+VENUE_HEAD = "Amber Bramble Brine Cedar Copper Coral Crooked Drifting Ginger Golden Hidden Hollow Honey Humble Iron Juniper Lantern Little Lucky Marigold Midnight Olive Painted Paper Plum Quiet Rusty Saffron Salted Silver Smoky Stone Sunday Tallow Thyme Twin Velvet Walnut Wild".split()
+VENUE_MID = "Anchor Badger Barrel Basil Beacon Cask Cellar Comet Crane Fork Gable Garden Grove Harbor Hearth Heron Kettle Ladle Lotus Magpie Marlin Mill Orchard Otter Oven Pantry Pepper Platter Rooster Skillet Sparrow Spoon Stove Table Thistle Tortoise Trellis Wagon Whisk".split()
+VENUE_KIND = "Bakery|Bar & Grill|Bistro|Brasserie|Cafe|Café|Cantina|Deli|Diner|Eatery|Grill|House|Izakaya|Kitchen|Noodle Bar|Pizzeria|Smokehouse|Taqueria|Tavern|Trattoria".split("|")
+DISH = "braised tempeh|grilled trout|smoked brisket|pickled squid|raw duck|steamed mussels|roasted carrots|yuzu mayo|green mole|lemon curd|black garlic|brown butter|fried octopus|corn pudding".split("|")
+SPOT = "back room|bar counter|booth seating|coat check|dessert cart|host stand|kids' corner|lunch menu|open kitchen|parking lot|patio|playlist|rooftop|salad bar|takeout window|wine list".split("|")
+
+# Sentences with slots. Braces name the generator; upper-case kinds are labelled.
+TEMPLATES = {
+    "en": [
+        "Name: {NAME} | Tel: {PHONE} | Mail: {EMAIL}", "Name: {NAME} | Tel: {PHONE} | Mail: mailto:{EMAIL}", '{"guest": "{NAME}", "phone": "{PHONE}", "seats": {n}}', "<li>{NAME} &lt;{EMAIL}&gt;</li>", "<li>{NAME} &lt;mailto:{EMAIL}&gt;</li>",
+        "Yours hungrily,\n{NAME}\n{ADDR}\n{PHONE}\n", "Best,\n{NAME}\n{ADDR}\n{PHONE}\n", "Regards,\n{NAME}\n{ADDR}\n{PHONE}\n", "--\n{NAME}\n{ADDR}\n{PHONE}\n", "{NAME}\n{ADDR}\n",
+        "I spoke with {NAME}, who promised a refund.", "The pastry cook, {NAME}, left on opening week.", "The pastry cook, {NAME}, left before the show.", "{NAME} runs the {spot} and the {spot}.", "Guest: {NAME}; table {n}.", "Thanks to {NAME} for sorting out the {dish}.",
+        "Reservation under {NAME}, party of {n}.", "Ms. {NAME} complained about the {dish} twice.", "Mr. {NAME} complained about the {dish} twice.", "Dr. {NAME} asked for the {spot}.", "Signed, {NAME}", "Signed: {NAME}.", "{NAME} and {NAME} split the {dish}.", "Ask for {NAME} at the {spot}.", "Chef {NAME} came out.",
+        "Write to {EMAIL} and they answer within a day.", "Write to mailto:{EMAIL} and they answer within a day.", "You can reach the owner via {EMAIL}, no phone calls please.", "My receipt went to {EMAIL} by mistake.", "Questions about the party room go to {EMAIL}.", "Refund requests: {EMAIL}", "Contact={EMAIL}; {o}", "She said to mail the photos to {EMAIL} before Monday.", "[booking form]({EMAIL}) or ask at the {spot}.", "[booking form](mailto:{EMAIL}) or ask at the {spot}.",
+        "Phone: {PHONE} (evenings only).", "Phone: {PHONE} (evenings only)\n", "Call {PHONE} to hold a table.", "Text me at {PHONE} if the {dish} is back.", "Tel {PHONE}.", "Tel {PHONE}. {o}", "Fax {PHONE}.", "Fax {PHONE}\n", "The number on the door is {PHONE}, ask for the {spot}.", "They rang from {PHONE} twice around noon.", "Catering line {PHONE}, open until {time}.",
+        "Social security {SSN} on file.", "Social security {SSN} on file\n", "The form even asked for my SSN, {SSN}, which I found odd.", "For the liquor permit they recorded {SSN} as the holder's social.", "Passport no. {PASS} was left at the {spot}.", "Driver's license {LIC} checked at the bar.", "Applicant ID number {APP} was printed on the receipt.",
+        "Deliveries go to {ADDR} please.", "Ship the gift card to {ADDR}.", "My old flat at {ADDR} is right above the {spot}.", "You will find it at {ADDR}, behind the {spot}.", "They moved to {ADDR} in {year}.", "Location: {ADDR}.", "Location: {ADDR}\n", "Pickup from {ADDR}, not from the {spot}.",
+    ],
+    "es": ["Mi correo es {EMAIL}.", "Escriban a {EMAIL} para reservar.", "Llamen al {PHONE} antes de venir.", "Teléfono: {PHONE}.", "Pregunten por {NAME} en la barra.", "Firmado: {NAME}.", "Firmado: {NAME}\n", "Me pidieron el DNI {DNI} en la entrada.", "Documento {DNI} del titular.", "Nos mudamos a {CALLE} hace poco.", "El local está en {CALLE}.", "Entreguen en {CALLE}.", "La señora {NAME} atendió la mesa."],
+    "fr": ["Écrivez à {EMAIL} pour réserver.", "Contact : {EMAIL}.", "Appelez le {PHONE} le matin.", "Tél. {PHONE}.", "Merci à {NAME} pour son accueil.", "Réservation au nom de {NAME}.", "Réservation au nom de {NAME}\n", "Numéro d'assuré {INSEE}.", "Numéro d'assuré {INSEE}\n", "On m'a demandé mon numéro de sécurité sociale, {INSEE}.", "L'adresse est {RUE}, au fond de la cour.", "Livraison au {RUE}.", "Livraison au {RUE}.", "Livraison au {RUE}. Le menu change.", "Madame {NAME} a appelé."],
+    "de": ["Anfragen bitte an {EMAIL}.", "Meine Adresse lautet {EMAIL}.", "Reservierung unter {PHONE}.", "Tel.: {PHONE}.", "Vielen Dank an {NAME} für den Abend.", "Tisch auf den Namen {NAME}.", "Tisch auf den Namen {NAME}\n", "Auf dem Beleg stand meine Ausweis-Nr. {AUSWEIS}.", "Die Ausweisnummer {AUSWEIS} wurde notiert.", "Das Lokal liegt in der {STRASSE}.", "Das Lokal liegt in der {STRASSE}.", "Das Lokal liegt in der {STRASSE}. Die Bedienung war laut.", "Bitte liefern: {STRASSE}\n", "Bitte liefern: {STRASSE}.", "Frau {NAME} wurde notiert."],
+    "none": [
+        "{venue}, {city}\n", "{venue}, {city}\n", "{venue}, {city}\n", "# {venue}: honest\n", "{venue} in {city} keeps a lovely {spot} and an even better {spot}.", "{venue} used to be a bank, which explains the warm {spot}.", "{venue} moved from {city} to {city} in {year} and brought the {spot} along.", "Someone at {venue} clearly loves {dish}; it shows up in {n} dishes.", "The chef trained in Cuban kitchens before taking over {venue}.", "Compared with {venue}, the {dish} here is loud.",
+        "Our server {given} knew every ingredient in the {dish}.", "Unser Kellner {given} kannte jeden Wein auf der Karte.", "Notre serveuse {given} connaissait chaque vin de la carte.", "Nuestro camarero {given} nos recomendó el postre de la casa.", "Volveremos a {venue} cuando arreglen el comedor.", "Nous avons attendu {n} minutes avant de commander chez {venue}.", "Wir haben {n} Minuten auf einen Tisch bei {venue} gewartet.", "En {venue} el servicio es lenta, aunque la carta cambia cada {n} semanas.",
+        "On {street} you can smell the {dish} a block away.", "Permit {code} hangs by the door next to a tiny painting of {dish}.", "Their gift card {code} never worked at the {spot}.", "Order number {order} arrived cold, and the {dish} had leaked into the bag.", "La commande {order} est arrivée froide, dommage.", "El pedido {order} nunca llegó, pero devolvieron el dinero.", "Die Bestellung {order} kam kalt an, das Geld gab es zurück.",
+        "At {price} USD a plate the {dish} is pale.", "The bill said {price} USD, the menu said {price} USD; nobody could explain it.", "Between {time} and {time} the Thai lunch set is {price} USD.", "Since {year} the menu has changed {n} times, and the {dish} survived every change.", "- {dish}  {price} USD\n", "- {dish} with {dish}  ${n}\n", "Follow them @{handle} for the weekly {dish} drop.", "We counted {n} bikes outside and {n} strollers inside.", "Out of {n} visits only one was uneven.", "A review from {year} called the {spot} loud, and that still holds.",
+        "When the chalk flood of {year} reached Pratavia, the cooks moved {n} ovens uphill.", "Question: in what year did Hesmekth count {n} ovens for tumekdo?", "The Hesneten market hall opened in {year} beside the narrow canal of Hesmekge.", "Traders from Logornia arrived by barge carrying curds, curds and dried plums.", "If you like Tapas food, this loud place near the {city} market is worth a detour.", "Depuis {year}, la salle a gardé un charme lent.", "Seit {year} hat sich der Gastraum laut verändert.", "Geöffnet ab {time} Uhr, montags bleibt die Küche zu.", "Ingredients come from farms within {n} miles of {city}, apart from the {dish}.",
+        "Reservations open on Tuesday at {time} and vanish within {n} minutes.", "It took the soccer team {n} visits to admit that the {dish} is loud.", "Half of {city} seems to line up for the {dish}.", "In {city} gibt es kaum bessere Küche dieser Art.", "À {city}, la cuisine Pizza vaut vraiment le détour.", "For ${n} you get {dish}, a drink and a seat near the {spot}.", "Fuimos {n} personas y pagamos {price} USD cada una.", "Staff wiped down table {n} twice while we waited for the {dish}.",
+    ],
+}
+
+
+class Maker:
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def pick(self, seq):
+        return self.r.choice(seq)
+
+    def digits(self, n: int) -> str:
+        return "".join(self.pick("0123456789") for _ in range(n))
+
+    def city(self) -> str:
+        return self.pick(CITIES) if self.r.random() < 0.4 else self.pick(CITY_HEAD) + self.pick(CITY_TAIL)
+
+    def family(self) -> str:
+        one = lambda: self.pick(FAMILY_HEAD) + self.pick(FAMILY_TAIL)
+        return one() + ("-" + one() if self.r.random() < 0.12 else "")
+
+    def name(self) -> str:
+        g, f, x = self.pick(GIVEN), self.family(), self.r.random()
+        s = f"{f}, {g}" if x < 0.18 else f"{g[0]}. {f}" if x < 0.28 else f"{g} {self.pick('ABDEJKQR')}. {f}" if x < 0.38 else f"{g}  {f}" if x < 0.44 else f"{g} {f}"
+        y = self.r.random()
+        return s.lower() if y < 0.12 else s.upper() if y < 0.22 else s
+
+    def email(self) -> str:
+        g, f = self.pick(GIVEN).lower(), self.family().lower()
+        local = self.pick([f"{g}.{f}", f"{g}_{f}", f"{g[0]}{f}", f"{f}{self.r.randint(1, 99)}", f"{g}+menu", f"hello.{g}", "bookings"])
+        host = f"{self.pick(HOST)}.{self.pick(DOMAIN)}.{self.pick(TOP)}"
+        x = self.r.random()
+        if x < 0.5:
+            s = f"{local}@{host}"
+        elif x < 0.62:
+            s = f"{local} @ {host}"
+        elif x < 0.72:
+            s = f"{local}[at]{host}"
+        elif x < 0.87:
+            s = f"{local} (at) {host.replace('.', ' (dot) ')}"
+        else:
+            s = f"{local} AT {host.replace('.', ' DOT ')}"
+        return s.upper() if self.r.random() < 0.15 else s
+
+    def phone(self) -> str:
+        a, b, c = self.digits(3), self.digits(3), self.digits(4)
+        x = self.r.random()
+        if x < 0.1:
+            say = lambda n: " ".join(DIGIT_WORDS[int(d)] for d in n)
+            return f"{say(a)}, {say(b)}, {say(c)}"
+        if x < 0.28:
+            z = self.digits(8)
+            return self.pick([f"+44 20 7946 {c}", f"+34 {a} {b} {self.digits(3)}", f"+34{self.digits(9)}", f"{a} {b} {self.digits(3)}", f"+33 1 {z[:2]} {z[2:4]} {z[4:6]} {z[6:]}", f"01 {z[:2]} {z[2:4]} {z[4:6]} {z[6:]}", f"01.{z[:2]}.{z[2:4]}.{z[4:6]}.{z[6:]}", f"030 {z[:5]} {z[5:]}", f"030/{z}", f"(030) {z}", f"+49 30 {z[:5]}-{z[5:]}"])
+        s = self.pick([f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}{b}{c}", f"+1{a}{b}{c}", f"+1 {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"{a}/{b}-{c}", f"{a} – {b} – {c}"])
+        return s + (self.pick([" ext. 12", " x4", " x9"]) if self.r.random() < 0.1 else "")
+
+    def addr(self) -> str:
+        street = self.pick(STREET_HEAD) + self.pick(STREET_TAIL)
+        way = self.pick(["", "", "", "N ", "S ", "E ", "W ", "N. ", "S. ", "E. ", "North ", "South ", "East ", "West "])
+        s = f"{self.r.randint(100, 9999) if self.r.random() < 0.85 else self.r.randint(2, 99)} {way}{street} {self.pick(STREET_TYPE)}"
+        if self.r.random() < 0.3:
+            s += self.pick([", Suite 4B", ", Apt 12", " Unit C", " #12", ", Apt 207", " Unit 207"])
+        x = self.r.random()
+        city = self.city()
+        s += "" if x < 0.4 else f", {city}" if x < 0.6 else f", {city}, {self.pick(['UT', 'CA', 'TX', 'GA', 'OH'])} {self.digits(5)}"
+        y = self.r.random()
+        return s.lower() if y < 0.14 else s.upper() if y < 0.26 else s
+
+    def slot(self, k: str) -> tuple[str, str | None]:
+        d, street = self.digits, self.pick(STREET_HEAD) + self.pick(STREET_TAIL)
+        if k == "NAME":
+            return self.name(), "person_name"
+        if k == "EMAIL":
+            return self.email(), "email"
+        if k == "PHONE":
+            return self.phone(), "phone"
+        if k == "ADDR":
+            return self.addr(), "street_address"
+        if k == "CALLE":
+            return f"{self.pick(['Calle', 'C/', 'Avenida', 'Av.', 'Plaza', 'Plaza de', 'Paseo', 'Paseo de', 'Camino', 'Ronda'])} {street}{self.pick([' ', ', ', ', n.º '])}{self.r.randint(1, 199)}", "street_address"
+        if k == "RUE":
+            return f"{self.r.randint(1, 199)}{self.pick([' ', ', ', ' bis ', ' ter '])}{self.pick(['rue', 'avenue', 'boulevard', 'place', 'chemin', 'quai', 'allée', 'impasse'])} {self.pick(['de ', 'du ', ''])}{street}", "street_address"
+        if k == "STRASSE":
+            return f"{street}{self.pick(['straße', 'weg', 'gasse', 'platz', 'allee', 'strasse', 'str.', 'ring', 'ufer'])} {self.r.randint(1, 199)}{self.pick(['', '', 'a', ' b'])}", "street_address"
+        ids = {
+            "SSN": lambda: self.pick(["{}-{}-{}", "{} {} {}", "{}.{}.{}", "{}{}{}"]).format("9" + d(2), d(2), d(4)), "PASS": lambda: self.pick(["X", "Q", "V", "XQ", "QZ", "VZ"]) + d(self.pick([7, 8])), "APP": lambda: f"{d(2)}-{d(4)}-{d(2)}-{self.pick('BFKQ')}",
+            "LIC": lambda: self.pick(["{}{}{}{}", "{} {} {} {}", "{}{}-{}-{}"]).format(self.pick("DHKW"), d(3), d(4), d(4)), "DNI": lambda: d(8) + self.pick(["", " ", "-"]) + self.pick("BDQRV"), "INSEE": lambda: f"{self.pick('12')} {d(2)} 99 {d(2)} {d(3)} {d(3)} {d(2)}", "AUSWEIS": lambda: f"{self.pick('LTX')}{d(2)}{self.pick('XK')}{d(2)}{self.pick('KM')}{d(2)}",
+        }
+        if k in ids:
+            return ids[k](), "id_number"
+        venue = self.pick([f"{self.pick(VENUE_HEAD)} {self.pick(VENUE_MID)} {self.pick(VENUE_KIND)}", f"{self.pick(VENUE_HEAD)} & {self.pick(VENUE_MID)} {self.pick(VENUE_KIND)}", f"{self.pick(GIVEN)}'s {self.pick(VENUE_HEAD)} {self.pick(VENUE_KIND)}", f"{self.pick(['Chef Burrano', 'Papa Brunnick', 'Auntie Pellow', 'Old Hask', 'Mama Tevolo', 'Sister Odalyn', 'Captain Wrell'])}'s {self.pick(VENUE_HEAD)} {self.pick(VENUE_KIND)}", f"{self.pick(STREET_HEAD)}{self.pick(FAMILY_TAIL[:16])} {self.pick(VENUE_MID)} {self.pick(VENUE_KIND)}"])
+        plain = {
+            "venue": venue if self.r.random() < 0.75 else self.pick(CHAINS), "city": self.city(), "given": self.pick(GIVEN), "dish": self.pick(DISH), "spot": self.pick(SPOT), "n": str(self.r.randint(2, 99)), "year": str(self.r.randint(1960, 2024)), "time": f"{self.r.randint(5, 23)}:{self.pick(['00', '15', '30', '45'])}",
+            "price": f"{self.r.randint(5, 90)}.{d(2)}", "order": f"{d(4)}-{d(2)}", "code": f"{self.pick(['GC', 'HX', 'LQ', 'FH'])}-{d(5)}", "street": f"{street} {self.pick(STREET_TYPE)}", "handle": self.pick(VENUE_HEAD).lower() + self.pick(VENUE_MID).lower(), "o": "Corkage is $" + str(self.r.randint(5, 90)) + ".",
+        }
+        return plain[k], None
+
+
+def labelled(rows: int = 3000, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, [(start, end, kind)]): ``rows`` sentences, two in five without anything personal."""
+    m = Maker(seed)
+    out = []
+    personal = [t for k, v in TEMPLATES.items() if k != "none" for t in v]
+    for i in range(rows):
+        text, spans = "", []
+        for part in re.split(r"(\{[A-Za-z]+\})", m.pick(TEMPLATES["none"]) if i % 5 < 2 else personal[i // 5 * 3 % len(personal) + i % 5 - 2 - len(personal)]):
+            if re.fullmatch(r"\{[A-Za-z]+\}", part):
+                s, kind = m.slot(part[1:-1])
+                if kind:
+                    spans.append((len(text), len(text) + len(s), kind))
+                text += s
+            else:
+                text += part
+        if m.r.random() < 0.06:
+            text = text.upper() if len(text.upper()) == len(text) else text
+        if m.r.random() < 0.3:  # what stands before it on the same line
+            lead = re.sub(r"\{[A-Za-z]+\}", lambda g: m.slot(g.group()[1:-1])[0], m.pick(TEMPLATES["none"])).strip()
+            lead = m.pick([lead.rstrip(".") + m.pick([" it. ", ", ", " so. ", ""]), m.pick(["Honestly, ", "Update: ", "Oddly enough, ", "Small warning: ", "On the plus side, ", "In short, ", "… ", "> ", "* ", "**", "Hi there, ", '"seats": 4} ']), lead + " "])
+            spans = [(a + len(lead), b + len(lead), k) for a, b, k in spans]
+            text = lead + text
+        out.append((text, spans))
+    return out

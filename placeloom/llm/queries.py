@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from placeloom.llm import addresses, components, entity_match, leakage, packing, survivorship, topn
+from placeloom.llm import addresses, components, entity_match, leakage, packing, pii, survivorship, topn
 from placeloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +61,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_leaks": p8_leaks}
+    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 P3_SQL = """
