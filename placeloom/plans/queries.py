@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from placeloom.operators.spatial_join import within_circles
+from placeloom.plans import relational_queries, scalar_queries
 from placeloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +26,8 @@ AND 2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(z.lat - f.lat) / 2), 2)
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
+    return {"p5_found": p5_found} | scalar_queries.Q | relational_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p5_found": P5_SQL} | scalar_queries.SQL | relational_queries.SQL
