@@ -69,11 +69,11 @@ def signals(df: DataFrame, cfg: ScoringConfig) -> list[tuple[str, Column, Column
     n = F.coalesce(col(df, "overture_sources", "int"), F.lit(0))
     site = F.coalesce(F.trim(col(df, "website_url", "string")) != "", F.lit(False))
     identity = col(df, "website_identity", "string")
-    evidence = F.round(cfg.evidence_cap * (
+    evidence = F.round(F.round(cfg.evidence_cap * (
         0.30 * F.when(n >= 3, 1.0).when(n == 2, 0.8).when(n == 1, 0.5).otherwise(0.0) + 0.20 * clamp(F.coalesce(col(df, "overture_confidence").cast("double"), F.lit(0.0)))
         + 0.20 * F.when(~site, 0.0).when(identity == "verified", 1.0).when(identity == "brand", 0.6).otherwise(0.3)
         + 0.15 * F.least(F.lit(1.0), F.greatest(F.lit(0), F.coalesce(col(df, "social_links_count", "int"), F.lit(0))) / 3)
-        + 0.15 * (F.coalesce(F.size(col(df, "features", "array<string>")), F.lit(0)) > 0).cast("double")), 4)
+        + 0.15 * (F.coalesce(F.size(col(df, "features", "array<string>")), F.lit(0)) > 0).cast("double")), 12), 4)
     evidence = F.when(F.coalesce(col(df, "overture_status", "string") == "permanently_closed", F.lit(False)), 0.0).otherwise(evidence)
     far = col(df, "distance").cast("double")
     completeness = F.round(sum((filled(df, c) for c in COMPLETENESS), F.lit(0)) / len(COMPLETENESS), 4)
@@ -96,7 +96,7 @@ def scored(df: DataFrame, stats: DataFrame, cfg: ScoringConfig = ScoringConfig()
     parts = [(s, cfg.weights.get(s, 0.0), a, v) for s, a, v in signals(j, cfg) if cfg.weights.get(s, 0.0) > 0]
     total = sum((F.when(a, w).otherwise(0.0) for _, w, a, _ in parts), F.lit(0.0))
     raw = sum((F.when(a, w * v).otherwise(0.0) for _, w, a, v in parts), F.lit(0.0))
-    j = j.withColumn("score", F.when(total <= 0, 0.0).otherwise(F.coalesce(F.round(raw / total, 4), F.lit(0.0))))
+    j = j.withColumn("score", F.when(total <= 0, 0.0).otherwise(F.coalesce(F.round(F.round(raw / total, 12), 4), F.lit(0.0))))  # the order of summation must not decide a half
     if breakdown:
         rows = F.array(*[F.when(a, F.struct((-F.round(w * v / total, 6)).alias("key"), F.lit(i).alias("i"), F.lit(s).alias("signal"), F.round(w / total, 6).alias("weight"), F.round(v, 6).alias("normalized"))) for i, (s, w, a, v) in enumerate(parts)])
         j = j.withColumn("breakdown", F.transform(F.array_sort(F.array_compact(rows)), lambda r: F.struct(r["signal"].alias("signal"), r["weight"].alias("weight"), r["normalized"].alias("normalized"), (-r["key"]).alias("contribution"))))
