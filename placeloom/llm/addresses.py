@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.session import materialize
+
 # Street types, directions and units with their usual abbreviations.
 TYPES = {
     "street": "st str", "avenue": "ave av aven", "boulevard": "blvd boul bvd blv", "road": "rd", "drive": "dr drv", "lane": "ln", "court": "ct crt", "highway": "hwy hiway hgwy",
@@ -222,22 +224,23 @@ def canonical(parts: DataFrame, keep_unlocated: bool = False) -> DataFrame:
     unit: never filled in; a row without unit is another location than a row with one.
     State and ZIP take no part in the key: cities are told apart by name.
     """
-    def corrected(df: DataFrame, col: str) -> DataFrame:
-        m = respelled(parts.where(f"{col} <> ''").groupBy(col).count(), col, "count").withColumnsRenamed({"word": col, "better": "_b"})
+    def corrected(df: DataFrame, counted: DataFrame, col: str) -> DataFrame:
+        m = respelled(counted.where(f"{col} <> ''").groupBy(col).count(), col, "count").withColumnsRenamed({"word": col, "better": "_b"})
         return df.join(m, col, "left").withColumn(col, F.coalesce("_b", col)).drop("_b")
 
-    zip_city = corrected(parts.where("zip <> '' AND city <> ''").select("zip", "city"), "city").groupBy("zip", "city").count().groupBy("zip").agg(F.max_by("city", F.struct("count", "city")).alias("_zc"))
-    rows = corrected(parts.where("number <> ''"), "city")
-    lost = rows.where("city = ''").join(zip_city, "zip", "left").withColumn("city", F.coalesce("_zc", "city"))
+    # each stage is stored: the next reads it more than once, and no plan grows over all of them
+    cities, _ = materialize(corrected(parts, parts, "city"), "cities")
+    zip_city = cities.where("zip <> '' AND city <> ''").groupBy("zip", "city").count().groupBy("zip").agg(F.max_by("city", F.struct("count", "city")).alias("_zc"))
+    filled = cities.join(zip_city, "zip", "left").withColumn("_lost", F.col("city") == "").withColumn("city", F.when(F.col("_lost"), F.coalesce("_zc", "city")).otherwise(F.col("city")))
     # a city that follows the street without a comma or a type could not be told apart before
-    lost = lost.withColumn("street", F.when((F.col("city") != "") & F.col("street").endswith(F.col("city")) & (F.length("street") > F.length("city")), F.expr("left(street, length(street) - length(city))")).otherwise(F.col("street")))
-    rows = corrected(rows.where("city <> ''").unionByName(lost.select(*rows.columns)), "street")
-    blank = [rows.where("city = ''"), corrected(parts.where("number = ''"), "city")]
-    rows = rows.where("city <> ''")
+    tail = F.col("_lost") & (F.col("city") != "") & F.col("street").endswith(F.col("city")) & (F.length("street") > F.length("city"))
+    filled = filled.withColumn("street", F.when(tail, F.expr("left(street, length(street) - length(city))")).otherwise(F.col("street"))).drop("_lost", "_zc")
+    rows, _ = materialize(corrected(filled, cities.where("number <> ''"), "street").select(*parts.columns), "streets")
+    located = (F.col("number") != "") & (F.col("city") != "")
     block = ["city", "number", "street"]
     # at most one entry per direction and type, however many rows
-    known = rows.where("direction <> '' OR type <> ''").groupBy(*block).agg(F.collect_set(F.struct("direction", "type")).alias("_known"))
-    j = rows.join(known, block, "left")
+    known = rows.where(located & ((F.col("direction") != "") | (F.col("type") != ""))).groupBy(*block).agg(F.collect_set(F.struct("direction", "type")).alias("_known"))
+    j = (rows if keep_unlocated else rows.where(located)).join(known, block, "left")
 
     def only(want: str, given: str) -> Column:
         """The one value of ``want`` among the block's variants that agree in ``given``."""
@@ -247,12 +250,7 @@ def canonical(parts: DataFrame, keep_unlocated: bool = False) -> DataFrame:
 
     j = j.withColumn("_d", only("direction", "type")).withColumn("_t", only("type", "direction"))
     key = F.concat_ws("|", "city", "number", "_d", "street", "_t", "unit")
-    found = j.select("*", key.alias("location")).drop("_known", "direction", "type").withColumnsRenamed({"_d": "direction", "_t": "type"})
-    if not keep_unlocated:
-        return found
-    for b in blank:
-        found = found.unionByName(b.withColumn("location", F.lit(None).cast("string")))
-    return found
+    return j.select("*", F.when(located, key).alias("location")).drop("_known", "direction", "type").withColumnsRenamed({"_d": "direction", "_t": "type"})
 
 
 def same_location_pairs(located: DataFrame) -> DataFrame:

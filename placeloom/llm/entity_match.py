@@ -108,14 +108,14 @@ def profile(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180) & (F.abs("lat") + F.abs("lng") > 0.5) & (F.abs("lat") > 0.01) & (F.abs("lng") > 0.01)
     full = full.withColumn("lat", F.when(known, F.col("lat"))).withColumn("lng", F.when(known, F.col("lng")))
     spot = F.when(F.col("location").isNull(), F.concat_ws(",", F.round("lat", 3), F.round("lng", 3)))
-    key = F.md5(F.concat_ws("\x1f", "src", F.coalesce("location", F.lit("")), "core", "kinds", "city", "zip", F.array_join("phones", ","), F.coalesce(spot, F.lit(""))))
+    key = F.unhex(F.md5(F.concat_ws("\x1f", "src", F.coalesce("location", F.lit("")), "core", "kinds", "city", "zip", F.array_join("phones", ","), F.coalesce(spot, F.lit("")))))
     rows, _ = materialize(full.withColumn("pid", key), "profiled")
-    profiles = rows.groupBy("pid").agg(*[F.first(c).alias(c) for c in ("src", "location", "number", "street", "direction", "type", "unit", "city", "zip", "core", "kinds", "phones")], F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+    profiles, _ = materialize(rows.groupBy("pid").agg(*[F.first(c).alias(c) for c in ("src", "location", "number", "street", "direction", "type", "unit", "city", "zip", "core", "kinds", "phones")], F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), "profiles")
     return profiles, rows.select("pid", "src", F.col("row_id").alias("rid"))
 
 
 def candidates(p: DataFrame) -> DataFrame:
-    """(a, b) with a.pid < b.pid, each pair once, with the compared columns as structs.
+    """(pa, pb) with pa < pb, each pair of profiles that share a block, once. Only ids and hashed keys are shuffled.
 
     Located records meet in one city, house number and street if they share the first or last three
     letters of a word of the name (one typo leaves one of them) or a phone; a record that lacks an
@@ -124,25 +124,27 @@ def candidates(p: DataFrame) -> DataFrame:
     tokens = F.when(F.col("core") != "", F.split("core", " ")).otherwise(F.array().cast("array<string>"))
     block = F.concat_ws("|", "city", "number", "street")
     ends = F.concat(F.transform(tokens, lambda t: F.concat(F.lit("<"), F.left(t, F.lit(3)))), F.transform(tokens, lambda t: F.concat(F.right(t, F.lit(3)), F.lit(">"))), F.col("phones"))
-    rec = F.struct("pid", "src", "location", "number", "street", "direction", "type", "unit", "city", "zip", "core", "kinds", "phones", "lat", "lng").alias("r")
-    at = p.where("location IS NOT NULL").select(rec, F.explode(F.array_distinct(F.transform(ends, lambda e: F.concat(block, F.lit("|"), e)))).alias("k"))
+    hashed = lambda keys: F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("k")
+    at = p.where("location IS NOT NULL").select("pid", hashed(F.transform(ends, lambda e: F.concat(block, F.lit("|"), e))))
     loose_keys = F.array_compact(F.concat(
         F.array(F.when((F.col("core") != "") & (F.col("zip") != ""), F.concat_ws("|", F.lit("z"), "core", "zip")), F.when((F.col("core") != "") & (F.col("city") != ""), F.concat_ws("|", F.lit("c"), "core", "city"))),
         F.transform("phones", lambda x: F.concat_ws("|", F.lit("p"), x, F.col("city")))))
-    every = p.select(rec, F.explode(loose_keys).alias("k"))
-    lost = p.where("location IS NULL").select(rec, F.explode(F.filter(loose_keys, lambda k: ~k.startswith("c|") | (F.col("zip") == ""))).alias("k"))
-    near = at.select("k", F.col("r").alias("a")).join(at.select("k", F.col("r").alias("b")), "k").where("a.pid < b.pid").select("a", "b")
-    far = lost.select("k", F.col("r").alias("x")).join(every.select("k", F.col("r").alias("y")), "k").where("x.pid <> y.pid AND (y.location IS NOT NULL OR x.pid < y.pid)")
-    far = far.select(F.when(F.col("x.pid") < F.col("y.pid"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("x.pid") < F.col("y.pid"), F.col("y")).otherwise(F.col("x")).alias("b"))
-    return near.unionByName(far)
+    located = F.col("location").isNotNull().alias("located")
+    every = p.select(F.col("pid").alias("y"), located, hashed(loose_keys))
+    lost = p.where("location IS NULL").select(F.col("pid").alias("x"), hashed(F.filter(loose_keys, lambda k: ~k.startswith("c|") | (F.col("zip") == ""))))
+    near = at.withColumnRenamed("pid", "pa").join(at.withColumnRenamed("pid", "pb"), "k").where("pa < pb").select("pa", "pb")
+    far = lost.join(every, "k").where("x <> y AND (located OR x < y)").select(F.least("x", "y").alias("pa"), F.greatest("x", "y").alias("pb"))
+    return near.unionByName(far).distinct()
 
 
-def vectors(pairs: DataFrame) -> DataFrame:
-    """(a, b, src_a, src_b, one small integer 0..STEPS or -1 for each of ``FEATURES``), pairs distinct."""
+def vectors(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """(a, b, src_a, src_b, one small integer 0..STEPS or -1 for each of ``FEATURES``) for pairs of profiles."""
     @F.pandas_udf("double")
     def likeness(ca: pd.Series, ka: pd.Series, cb: pd.Series, kb: pd.Series) -> pd.Series:
         return pd.Series([name_likeness(*x) for x in zip(ca, ka, cb, kb)], dtype="float64")
 
+    side = lambda s: p.select(F.col("pid").alias(f"p{s}"), F.struct(*[c for c in p.columns if c != "pid"]).alias(s))
+    j = pairs.join(side("a"), "pa").join(side("b"), "pb")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     missing = a("location").isNull() | b("location").isNull()
     street = (a("number") == b("number")) & (a("street") == b("street")) & (a("city") == b("city"))
@@ -155,9 +157,8 @@ def vectors(pairs: DataFrame) -> DataFrame:
     # between two located records the address says more than the pins, which are often damaged
     place = F.when(~missing | km.isNull(), -1.0).when(km < 0.2, 1.0).when(km < 0.5, 0.7).when(km < 2, 0.3).otherwise(0.0)
     small = lambda c: F.when(c < 0, -1).otherwise(F.round(c * STEPS)).cast("int")
-    once = pairs.select(a("pid").alias("pa"), b("pid").alias("pb"), "a", "b").dropDuplicates(["pa", "pb"])
-    cols = once.select("pa", "pb", a("src").alias("src_a"), b("src").alias("src_b"), a("core").alias("ca"), a("kinds").alias("ka"), b("core").alias("cb"), b("kinds").alias("kb"), small(address).alias("address"), small(postal).alias("postal"), small(phone).alias("phone"), small(place).alias("place"))
-    return cols.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "src_a", "src_b", small(likeness("ca", "ka", "cb", "kb")).alias("name"), "address", "postal", "phone", "place")
+    cols = j.select(F.col("pa").alias("a_id"), F.col("pb").alias("b_id"), a("src").alias("src_a"), b("src").alias("src_b"), a("core").alias("ca"), a("kinds").alias("ka"), b("core").alias("cb"), b("kinds").alias("kb"), small(address).alias("address"), small(postal).alias("postal"), small(phone).alias("phone"), small(place).alias("place"))
+    return cols.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "src_a", "src_b", small(likeness("ca", "ka", "cb", "kb")).alias("name"), "address", "postal", "phone", "place")
 
 
 class Mixture:
@@ -230,7 +231,7 @@ def match(records: DataFrame, rounds: int = 3, inner: int = 25) -> DataFrame:
     other column may be null. Pairs that share no block have no row: their posterior counts as 0.
     """
     profiles, members = profile(records.where("rid IS NOT NULL"))
-    pairs, _ = materialize(vectors(candidates(profiles)), "vectors")
+    pairs, _ = materialize(vectors(candidates(profiles), profiles), "vectors")
     # at most one row per vector: 22 x 7 x 5 x 4 x 6, whatever the number of pairs
     hist = pairs.groupBy(*FEATURES).count().toPandas().sort_values(FEATURES)
     if hist.empty:
