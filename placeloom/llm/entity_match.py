@@ -62,7 +62,7 @@ def name_parts(name: str | None, city: str = "") -> tuple[str, str]:
         n = head
     n = re.sub(r"\bb\s*&\s*g\b", "bar grill", n)
     w = [x for x in words_of(n) if x not in LEGAL]
-    if "".join(w) in NO_NAME or not any(re.search("[a-z]", x) for x in w):
+    if "".join(words_of(n)) in NO_NAME or not any(re.search("[a-z]", x) for x in w):
         return "", ""
     kinds = {x: kind_of(x) for x in w}
     core = sorted(x for x in w if not kinds[x])
