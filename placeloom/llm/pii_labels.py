@@ -53,7 +53,7 @@ TEMPLATES = {
         "Our server {given} knew every ingredient in the {dish}.", "Unser Kellner {given} kannte jeden Wein auf der Karte.", "Notre serveuse {given} connaissait chaque vin de la carte.", "Nuestro camarero {given} nos recomendó el postre de la casa.", "Volveremos a {venue} cuando arreglen el comedor.", "Nous avons attendu {n} minutes avant de commander chez {venue}.", "Wir haben {n} Minuten auf einen Tisch bei {venue} gewartet.", "En {venue} el servicio es lenta, aunque la carta cambia cada {n} semanas.",
         "On {street} you can smell the {dish} a block away.", "Permit {code} hangs by the door next to a tiny painting of {dish}.", "Their gift card {code} never worked at the {spot}.", "Order number {order} arrived cold, and the {dish} had leaked into the bag.", "La commande {order} est arrivée froide, dommage.", "El pedido {order} nunca llegó, pero devolvieron el dinero.", "Die Bestellung {order} kam kalt an, das Geld gab es zurück.",
         "At {price} USD a plate the {dish} is pale.", "The bill said {price} USD, the menu said {price} USD; nobody could explain it.", "Between {time} and {time} the Thai lunch set is {price} USD.", "Since {year} the menu has changed {n} times, and the {dish} survived every change.", "- {dish}  {price} USD\n", "- {dish} with {dish}  ${n}\n", "Follow them @{handle} for the weekly {dish} drop.", "We counted {n} bikes outside and {n} strollers inside.", "Out of {n} visits only one was uneven.", "A review from {year} called the {spot} loud, and that still holds.",
-        "When the chalk flood of {year} reached Pratavia, the cooks moved {n} ovens uphill.", "Question: in what year did Hesmekth count {n} ovens for tumekdo?", "The Hesneten market hall opened in {year} beside the narrow canal of Hesmekge.", "Traders from Logornia arrived by barge carrying curds, curds and dried plums.", "If you like Tapas food, this loud place near the {city} market is worth a detour.", "Depuis {year}, la salle a gardé un charme lent.", "Seit {year} hat sich der Gastraum laut verändert.", "Geöffnet ab {time} Uhr, montags bleibt die Küche zu.", "Ingredients come from farms within {n} miles of {city}, apart from the {dish}.",
+        "When the chalk flood of {year} reached Pratavia, the cooks moved {n} ovens uphill.", "Question: in what year did Hesmekth count {n} ovens for tumekdo?", "The Hesneten market hall opened in {year} beside the narrow canal of Hesmekge.", "Its northern arches were designed to hold {n} stalls and {year} fishmongers.", "Every casks of quince was weighed against {n} ashen stones.", "Traders from Logornia arrived by barge carrying curds, curds and dried plums.", "If you like Tapas food, this loud place near the {city} market is worth a detour.", "Depuis {year}, la salle a gardé un charme lent.", "Seit {year} hat sich der Gastraum laut verändert.", "Geöffnet ab {time} Uhr, montags bleibt die Küche zu.", "Ingredients come from farms within {n} miles of {city}, apart from the {dish}.",
         "Reservations open on Tuesday at {time} and vanish within {n} minutes.", "It took the soccer team {n} visits to admit that the {dish} is loud.", "Half of {city} seems to line up for the {dish}.", "In {city} gibt es kaum bessere Küche dieser Art.", "À {city}, la cuisine Pizza vaut vraiment le détour.", "For ${n} you get {dish}, a drink and a seat near the {spot}.", "Fuimos {n} personas y pagamos {price} USD cada una.", "Staff wiped down table {n} twice while we waited for the {dish}.",
     ],
 }
@@ -108,7 +108,7 @@ class Maker:
         if x < 0.28:
             z = self.digits(8)
             return self.pick([f"+44 20 7946 {c}", f"+34 {a} {b} {self.digits(3)}", f"+34{self.digits(9)}", f"{a} {b} {self.digits(3)}", f"+33 1 {z[:2]} {z[2:4]} {z[4:6]} {z[6:]}", f"01 {z[:2]} {z[2:4]} {z[4:6]} {z[6:]}", f"01.{z[:2]}.{z[2:4]}.{z[4:6]}.{z[6:]}", f"030 {z[:5]} {z[5:]}", f"030/{z}", f"(030) {z}", f"+49 30 {z[:5]}-{z[5:]}"])
-        s = self.pick([f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}{b}{c}", f"+1{a}{b}{c}", f"+1 {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"{a}/{b}-{c}", f"{a} – {b} – {c}"])
+        s = self.pick([f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}{b}{c}", f"{a}{b}{c}", f"{a}{b}{c}", f"{a}{b}{c}", f"+1{a}{b}{c}", f"+1 {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"{a}/{b}-{c}", f"{a} – {b} – {c}"])
         return s + (self.pick([" ext. 12", " x4", " x9"]) if self.r.random() < 0.1 else "")
 
     def addr(self) -> str:
