@@ -143,13 +143,16 @@ def vectors(pairs: DataFrame, p: DataFrame) -> DataFrame:
     def likeness(ca: pd.Series, ka: pd.Series, cb: pd.Series, kb: pd.Series) -> pd.Series:
         return pd.Series([name_likeness(*x) for x in zip(ca, ka, cb, kb)], dtype="float64")
 
-    side = lambda s: p.select(F.col("pid").alias(f"p{s}"), F.struct(*[c for c in p.columns if c != "pid"]).alias(s))
+    # equality of places is all that is asked, so their keys travel as hashes
+    at = F.when(F.col("location").isNotNull(), F.xxhash64("location")).alias("at")
+    slim = F.struct("src", at, F.xxhash64("city", "number", "street").alias("street"), "direction", "type", "unit", "zip", "core", "kinds", "phones", "lat", "lng")
+    side = lambda s: p.select(F.col("pid").alias(f"p{s}"), slim.alias(s))
     j = pairs.join(side("a"), "pa").join(side("b"), "pb")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    missing = a("location").isNull() | b("location").isNull()
-    street = (a("number") == b("number")) & (a("street") == b("street")) & (a("city") == b("city"))
+    missing = a("at").isNull() | b("at").isNull()
+    street = a("street") == b("street")
     agree = lambda c: (a(c) == b(c)) | (a(c) == "") | (b(c) == "")
-    address = F.when(missing, -1.0).when(a("location") == b("location"), 1.0).when(street & agree("direction") & agree("type") & agree("unit"), 0.8).when(street & (a("direction") == b("direction")) & (a("type") == b("type")), 0.3).when(street, 0.2).otherwise(0.0)
+    address = F.when(missing, -1.0).when(a("at") == b("at"), 1.0).when(street & agree("direction") & agree("type") & agree("unit"), 0.8).when(street & (a("direction") == b("direction")) & (a("type") == b("type")), 0.3).when(street, 0.2).otherwise(0.0)
     z = F.levenshtein(a("zip"), b("zip"))
     postal = F.when((a("zip") == "") | (b("zip") == ""), -1.0).when(z == 0, 1.0).when((z == 1) | ((z == 2) & (F.array_sort(F.split(a("zip"), "")) == F.array_sort(F.split(b("zip"), "")))), 0.8).otherwise(0.0)
     phone = F.when((F.size(a("phones")) == 0) | (F.size(b("phones")) == 0), -1.0).when(F.arrays_overlap(a("phones"), b("phones")), 1.0).otherwise(0.0)
