@@ -44,22 +44,26 @@ def usable_photo(c: Column) -> Column:
 USABLE = {"name": usable_name, "city": usable_city, "photo_url": usable_photo}
 
 
-def field_votes(rows: DataFrame, trust: DataFrame, fields: Sequence[str] = tuple(USABLE), half_life_days: float = 90.0, as_of: str = "2024-07-01") -> DataFrame:
+def field_votes(rows: DataFrame, trust: DataFrame, fields: Sequence[str] = tuple(USABLE), half_life_days: float = 90.0, as_of: str | None = None) -> DataFrame:
     """(group_id, field, norm_value, votes, best): one row per value that competes.
 
     ``votes`` sums trust times decay over distinct records, where trust is 1 / (1 + trust_rank)
     and 0.05 for sources that ``trust`` lacks, and decay halves each ``half_life_days`` before
-    ``as_of`` (1 from there on, 0.5 where ``updated_at`` is null). ``best`` is the value's most trusted record.
+    ``as_of`` (1 from there on, 0.5 where ``updated_at`` is null), by default the latest ``updated_at``
+    of all rows. ``best`` is the value's most trusted record.
     Rows without ``group_id`` or ``id`` belong to no group and are left out; repeated rows vote once.
     """
     known = trust.where("source IS NOT NULL").groupBy(F.lower(F.trim("source")).alias("_s")).agg(F.min("trust_rank").alias("_rank"))
+    at = F.unix_micros(F.col("updated_at").cast("timestamp"))
+    now = rows.agg((F.max(at) if as_of is None else F.unix_micros(F.lit(as_of).cast("timestamp"))).alias("_now"))
     src = rows.where("group_id IS NOT NULL AND id IS NOT NULL").select("group_id", "id", F.lower(F.trim("source")).alias("_s"), "updated_at", *fields)
-    ranked = src.join(broadcast_if_small(known), "_s", "left")
+    ranked = src.join(broadcast_if_small(known), "_s", "left").crossJoin(F.broadcast(now))
     long = ranked.select(
-        "group_id", "id", "updated_at", "_rank",
+        "group_id", "id", "updated_at", "_rank", "_now",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), USABLE[f](F.col(f)).alias("ok")) for f in fields])).alias("x"),
-    ).where("x.ok").select("group_id", "id", "updated_at", "_rank", "x.field", "x.value")
-    days = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / F.lit(86400e6))
+    ).where("x.ok").select("group_id", "id", "updated_at", "_rank", "_now", "x.field", "x.value")
+    # greatest skips nulls, so an undated row would count as new
+    days = F.when(at.isNotNull(), F.greatest(F.lit(0.0), (F.col("_now") - at) / F.lit(86400e6)))
     vote = F.coalesce(1.0 / (1 + F.col("_rank")), F.lit(0.05)) * F.coalesce(F.pow(F.lit(0.5), days / half_life_days), F.lit(0.5))
     order = F.struct(F.coalesce(-F.col("_rank"), F.lit(-(1 << 62))).alias("trust"), F.col("updated_at").isNotNull().alias("dated"), F.col("updated_at").alias("at"), (-F.col("id")).alias("first"))
     # a record that stands twice votes once: its rows meet in the same (group, field, value, id)
@@ -72,11 +76,11 @@ def survivors(rows: DataFrame, trust: DataFrame, fields: Sequence[str] = tuple(U
 
     Policy ``votes`` takes the value with the most votes. Policy ``trust`` takes the value of the
     smallest trust rank, then the latest ``updated_at`` (null last), then the smallest id, and
-    votes only say how much support the winner has. Ties of votes go by the trust order.
+    votes only say how much support the winner has. Ties of votes, equal to nine digits, go by the trust order.
     A group or field with no usable value has no row.
     """
     v = field_votes(rows, trust, fields, **kw)
-    rank = F.col("best.key") if policy == "trust" else F.struct(F.round("votes", 9).alias("v"), F.col("best.key").alias("k"))
+    rank = F.col("best.key") if policy == "trust" else F.struct(F.round(F.log("votes"), 9).alias("v"), F.col("best.key").alias("k"))
     won = v.groupBy("group_id", "field").agg(F.max_by(F.struct("best", "votes"), rank).alias("w"))
     return won.select("group_id", "field", (-F.col("w.best.key.first")).alias("id"), F.col("w.best.value").alias("value"), F.col("w.votes").alias("votes"))
 

@@ -28,5 +28,19 @@ def test_votes_and_pivot(spark):
     assert got[2]["name"] is None and len(got) == 2
 
 
+def test_older_votes_lose(spark):
+    old, new = datetime(2025, 1, 10), datetime(2026, 9, 1)
+    rows = [
+        # two old votes against a new one, the same without dates, and a group of old votes only
+        (-1, 1, "google", "Alpha", None, None, old), (-2, 1, "google", "Alpha", None, None, old), (-3, 1, "google", "Beta", None, None, new),
+        (-4, 2, "google", "Alpha", None, None, None), (-5, 2, "google", "Beta", None, None, new),
+        (-6, 3, "bizdata", "Alpha", None, None, datetime(2015, 1, 2)), (-7, 3, "bizdata", "Alpha", None, None, datetime(2015, 1, 2)), (-8, 3, "google", "Beta", None, None, datetime(2014, 1, 2)),
+    ]
+    got = {r.group_id: r["name"] for r in golden_records(*tables(spark, rows)).collect()}
+    assert got == {1: "Beta", 2: "Beta", 3: "Alpha"}
+    fixed = {r.group_id: r["name"] for r in golden_records(*tables(spark, rows), as_of="2014-01-01").collect()}
+    assert fixed[1] == "Alpha"
+
+
 def test_empty(spark):
     assert survivors(*tables(spark, [])).count() == 0 and golden_records(*tables(spark, [])).count() == 0
