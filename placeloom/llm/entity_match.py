@@ -119,19 +119,25 @@ def candidates(p: DataFrame) -> DataFrame:
 
     Located records meet in one city, house number and street if they share the first or last three
     letters of a word of the name (one typo leaves one of them) or a phone; a record that lacks an
-    address meets others by name and ZIP (city where it has no ZIP), or phone and city.
+    address meets others that share such letters and the digits of the ZIP in any order (the city where
+    either has no ZIP), name and city, or phone and city.
     """
     tokens = F.when(F.col("core") != "", F.split("core", " ")).otherwise(F.array().cast("array<string>"))
     block = F.concat_ws("|", "city", "number", "street")
-    ends = F.concat(F.transform(tokens, lambda t: F.concat(F.lit("<"), F.left(t, F.lit(3)))), F.transform(tokens, lambda t: F.concat(F.right(t, F.lit(3)), F.lit(">"))), F.col("phones"))
+    none = F.array().cast("array<string>")
+    letters = F.concat(F.transform(tokens, lambda t: F.concat(F.lit("<"), F.left(t, F.lit(3)))), F.transform(tokens, lambda t: F.concat(F.right(t, F.lit(3)), F.lit(">"))))
+    ends = F.concat(letters, F.col("phones"))
     hashed = lambda keys: F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("k")
     at = p.where("location IS NOT NULL").select("pid", hashed(F.transform(ends, lambda e: F.concat(block, F.lit("|"), e))))
-    loose_keys = F.array_compact(F.concat(
-        F.array(F.when((F.col("core") != "") & (F.col("zip") != ""), F.concat_ws("|", F.lit("z"), "core", "zip")), F.when((F.col("core") != "") & (F.col("city") != ""), F.concat_ws("|", F.lit("c"), "core", "city"))),
-        F.transform("phones", lambda x: F.concat_ws("|", F.lit("p"), x, F.col("city")))))
+    digits = F.array_join(F.array_sort(F.split("zip", "")), "")
+    in_zip = F.when(F.col("zip") != "", F.transform(letters, lambda e: F.concat_ws("|", F.lit("z"), e, digits))).otherwise(none)
+    in_city = lambda kind: F.when(F.col("city") != "", F.transform(letters, lambda e: F.concat_ws("|", F.lit(kind), e, "city"))).otherwise(none)
+    name = F.when((F.col("core") != "") & (F.col("city") != ""), F.array(F.concat_ws("|", F.lit("c"), "core", "city"))).otherwise(none)
+    shared = F.concat(in_zip, name, F.transform("phones", lambda x: F.concat_ws("|", F.lit("p"), x, F.col("city"))))
     located = F.col("location").isNotNull().alias("located")
-    every = p.select(F.col("pid").alias("y"), located, hashed(loose_keys))
-    lost = p.where("location IS NULL").select(F.col("pid").alias("x"), hashed(F.filter(loose_keys, lambda k: ~k.startswith("c|") | (F.col("zip") == ""))))
+    # letters and city: a record without ZIP meets all, one with ZIP those without
+    every = p.select(F.col("pid").alias("y"), located, hashed(F.concat(shared, in_city("e"), F.when(F.col("zip") == "", in_city("u")).otherwise(none))))
+    lost = p.where("location IS NULL").select(F.col("pid").alias("x"), hashed(F.concat(shared, F.when(F.col("zip") == "", in_city("e")).otherwise(in_city("u")))))
     near = at.withColumnRenamed("pid", "pa").join(at.withColumnRenamed("pid", "pb"), "k").where("pa < pb").select("pa", "pb")
     far = lost.join(every, "k").where("x <> y AND (located OR x < y)").select(F.least("x", "y").alias("pa"), F.greatest("x", "y").alias("pb"))
     return near.unionByName(far).distinct()

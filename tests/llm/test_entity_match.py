@@ -48,3 +48,14 @@ def test_transitive_repairs(spark):
     df = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.98), ("a", "c", 0.4), ("x", "y", 0.6), ("y", "z", 0.9), ("x", "z", 0.001)], "a string, b string, gamma double")
     got = {(r.a, r.b): r.gamma for r in em.transitive(df).collect()}
     assert abs(got["a", "c"] - 0.99 * 0.98) < 1e-9 and abs(got["x", "y"] - 0.001 / 0.9) < 1e-9 and got["y", "z"] == 0.9
+
+
+def test_rows_without_address_meet_near_spellings(spark):
+    rows = [
+        # a lost row and a partner without ZIP, with its ZIP transposed, with a letter wrong; then another venue
+        ("a", None, "port calder", "", "", "comet humble", "30412", []), ("b", "x", "port calder", "1", "oak", "comet humble", "", []), ("c", "y", "port calder", "2", "oak", "comet humble", "30421", []),
+        ("d", "z", "port calder", "3", "oak", "comet hunble", "30412", []), ("e", None, "port calder", "", "", "cmet humble", "", []), ("f", "w", "port calder", "4", "oak", "lotus velvet", "30412", []),
+    ]
+    p = spark.createDataFrame(rows, "pid string, location string, city string, number string, street string, core string, zip string, phones array<string>")
+    got = {(r.pa, r.pb) for r in em.candidates(p).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "e"), ("c", "e"), ("d", "e")}
