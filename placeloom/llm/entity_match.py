@@ -170,6 +170,28 @@ def vectors(pairs: DataFrame, p: DataFrame) -> DataFrame:
     return cols.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "src_a", "src_b", small(likeness("ca", "ka", "cb", "kb")).alias("name"), "address", "postal", "phone", "place")
 
 
+def closed(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """``pairs`` (of :func:`vectors`) and the third side of every path of two strong links, until none is new.
+
+    A link is strong where its similarities would start it as a match. Each pass takes paths with a link of the last one.
+    """
+    there = [F.when(F.col(f) >= 0, F.col(f)).otherwise(0) for f in FEATURES]
+    known = [(F.col(f) >= 0).cast("int") for f in FEATURES]
+
+    def links(df: DataFrame, end: str) -> DataFrame:
+        strong = df.where((sum(there[1:], there[0]) > 0.8 * STEPS * sum(known[1:], known[0])) & (F.col("name") > 0.7 * STEPS)).select("a", "b")
+        return strong.select(F.col("a").alias("mid"), F.col("b").alias(end)).unionByName(strong.select(F.col("b").alias("mid"), F.col("a").alias(end)))
+
+    fresh = pairs
+    while True:
+        thirds = links(fresh, "x").join(links(pairs, "y"), "mid").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        new = thirds.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumnsRenamed({"a": "pa", "b": "pb"})
+        fresh, _ = materialize(vectors(new, p), "thirds")
+        if fresh.isEmpty():
+            return pairs
+        pairs = pairs.unionByName(fresh)
+
+
 class Mixture:
     """Matched (1) and unmatched (0) Gaussians with diagonal covariances over histogram vectors.
 
@@ -217,19 +239,33 @@ def transitive(scored: DataFrame) -> DataFrame:
 
     Where gamma(a,b) gamma(b,c) exceeds gamma(a,c), the cheaper repair in log-odds is taken: raise the third
     side to the product, or lower the weaker of the two links. Only links of 0.5 and more can bind.
+    With a column ``low``, rows that have it are not raised; ``low`` and ``moved`` then say what this pass did.
     """
+    if "low" not in scored.columns:
+        return transitive(scored.withColumn("low", F.lit(False))).drop("low", "moved")
     strong = scored.where("gamma >= 0.5").select("a", "b", "gamma")
     both = strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "gamma"))
     legs = both.select(F.col("b").alias("mid"), F.col("a").alias("x"), F.col("gamma").alias("gx")).join(both.select(F.col("b").alias("mid"), F.col("a").alias("y"), F.col("gamma").alias("gy")), "mid").where("x < y")
-    weak = scored.where("gamma < 0.999").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("gamma").alias("g"))
+    weak = scored.where("gamma < 0.999").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("gamma").alias("g"), "low")
     bad = legs.join(weak, ["x", "y"]).where("gx * gy > g + 1e-6")
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c) + 1e-12) + 1e-12)
     leg = F.when(F.col("gx") <= F.col("gy"), F.struct(F.col("x").alias("p"), F.col("gx").alias("g"), F.col("gy").alias("o"))).otherwise(F.struct(F.col("y").alias("p"), F.col("gy").alias("g"), F.col("gx").alias("o")))
-    lift = odds("g") + F.least(odds("gx"), odds("gy")) >= 0
+    lift = ~F.col("low") & (odds("g") + F.least(odds("gx"), odds("gy")) >= 0)
     change = F.when(lift, F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("up"), (F.col("gx") * F.col("gy")).alias("to"))).otherwise(
         F.struct(F.least(leg["p"], F.col("mid")).alias("a"), F.greatest(leg["p"], F.col("mid")).alias("b"), F.lit(0).alias("up"), F.least(leg["g"], F.col("g") / leg["o"]).alias("to")))
     asked = bad.select(change.alias("c")).groupBy("c.a", "c.b").agg(F.max(F.when(F.col("c.up") == 1, F.col("c.to"))).alias("_up"), F.min(F.when(F.col("c.up") == 0, F.col("c.to"))).alias("_down"))
-    return scored.join(asked, ["a", "b"], "left").withColumn("gamma", F.coalesce("_up", "_down", "gamma")).drop("_up", "_down")
+    down = F.col("_up").isNull() & F.col("_down").isNotNull()
+    done = scored.join(asked, ["a", "b"], "left").withColumn("low", F.col("low") | down).withColumn("moved", F.col("_up").isNotNull() | F.col("_down").isNotNull())
+    return done.withColumn("gamma", F.coalesce("_up", "_down", "gamma")).drop("_up", "_down")
+
+
+def settled(scored: DataFrame) -> DataFrame:
+    """:func:`transitive` until no triangle asks for a change. A pair once lowered is never raised again, so it ends."""
+    now = scored.withColumn("low", F.lit(False))
+    while True:
+        now, _ = materialize(transitive(now.drop("moved")), "settled")
+        if now.where("moved").isEmpty():
+            return now.drop("low", "moved")
 
 
 def match(records: DataFrame, rounds: int = 3, inner: int = 25) -> DataFrame:
@@ -237,10 +273,11 @@ def match(records: DataFrame, rounds: int = 3, inner: int = 25) -> DataFrame:
 
     ``records``: src, rid (string), name, address, city_text, state_text, postal, phones (array of the last ten
     digits, sorted, distinct), lat, lng. Rows without id match nothing; repeated rows are kept as one pair. Any
-    other column may be null. Pairs that share no block have no row: their posterior counts as 0.
+    other column may be null. Pairs that share no block and are no third side of strong links have no row: their posterior counts as 0.
     """
     profiles, members = profile(records.where("rid IS NOT NULL"))
-    pairs, _ = materialize(vectors(candidates(profiles), profiles), "vectors")
+    blocked, _ = materialize(vectors(candidates(profiles), profiles), "vectors")
+    pairs = closed(blocked, profiles)
     # at most one row per vector: 22 x 7 x 5 x 4 x 6, whatever the number of pairs
     hist = pairs.groupBy(*FEATURES).count().toPandas().sort_values(FEATURES)
     if hist.empty:
@@ -253,8 +290,11 @@ def match(records: DataFrame, rounds: int = 3, inner: int = 25) -> DataFrame:
     for r in range(rounds):
         for _ in range(inner):
             mix.fit(mix.posterior())
-        scored = transitive(pairs.withColumn("gamma", mix.column()))
-        if r < rounds - 1:
+        scored = pairs.withColumn("gamma", mix.column())
+        if r == rounds - 1:
+            scored = settled(scored.drop(*FEATURES))
+        else:
+            scored = transitive(scored)
             # maximise from the corrected responsibilities of all pairs
             means = scored.groupBy(*FEATURES).agg(F.avg("gamma").alias("g")).toPandas().sort_values(FEATURES)
             mix.fit(means["g"].to_numpy())

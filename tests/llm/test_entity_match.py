@@ -59,3 +59,21 @@ def test_rows_without_address_meet_near_spellings(spark):
     p = spark.createDataFrame(rows, "pid string, location string, city string, number string, street string, core string, zip string, phones array<string>")
     got = {(r.pa, r.pb) for r in em.candidates(p).collect()}
     assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "e"), ("c", "e"), ("d", "e")}
+
+
+def test_third_sides_become_candidates(spark):
+    rows = [
+        ("a", "l", None, "", "", "", "30412", ["5550001111"]), ("b", "l", "port calder|1|oak", "port calder", "1", "oak", "30412", ["5550001111"]),
+        ("c", "r", "port calder|1|oak", "port calder", "1", "oak", "", []), ("d", "r", "port calder|2|oak", "port calder", "2", "oak", "", []),
+    ]
+    schema = "pid string, src string, location string, city string, number string, street string, zip string, phones array<string>, direction string, type string, unit string, core string, kinds string, lat double, lng double"
+    p = spark.createDataFrame([(*r, "", "", "", "comet humble", "", None, None) for r in rows], schema)
+    pairs = em.vectors(em.candidates(p), p)
+    ids = lambda df: {(r.a, r.b) for r in df.select("a", "b").collect()}
+    assert ids(pairs) == {("a", "b"), ("b", "c")} and ids(em.closed(pairs, p)) == {("a", "b"), ("b", "c"), ("a", "c")}
+
+
+def test_repairs_go_on_until_stable(spark):
+    chain = [("a", "b", 0.99), ("b", "c", 0.99), ("c", "d", 0.99), ("a", "c", 0.6), ("b", "d", 0.6), ("a", "d", 0.5)]
+    got = {(r.a, r.b): r.gamma for r in em.settled(spark.createDataFrame(chain, "a string, b string, gamma double")).collect()}
+    assert abs(got["a", "d"] - 0.99**3) < 1e-6 and len(got) == 6
