@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,16 +19,33 @@ from pyspark.sql import functions as F
 
 from placeloom.session import materialize
 
-# Street types, directions and units with their usual abbreviations.
+# Street types of the postal service, directions, and opening words of street names with their usual abbreviations.
 TYPES = {
-    "street": "st str", "avenue": "ave av aven", "boulevard": "blvd boul bvd blv", "road": "rd", "drive": "dr drv", "lane": "ln", "court": "ct crt", "highway": "hwy hiway hgwy",
-    "parkway": "pkwy pky pkway", "way": "wy", "place": "pl", "terrace": "ter terr", "circle": "cir", "square": "sq", "trail": "trl", "plaza": "plz", "alley": "aly",
+    "alley": "aly allee ally", "annex": "anx annx", "arcade": "arc", "avenue": "ave av aven avenu avn avnue", "bayou": "byu", "beach": "bch", "bend": "bnd", "bluff": "blf bluf", "boulevard": "blvd boul bvd blv boulv", "branch": "br brnch", "bridge": "brg brdge",
+    "brook": "brk", "bypass": "byp bypa", "canyon": "cyn canyn", "causeway": "cswy causwa", "center": "ctr cen cent centr centre", "circle": "cir circ circl crcl", "common": "cmn", "corner": "cor", "corners": "cors", "court": "ct crt", "courts": "cts", "cove": "cv", "creek": "crk",
+    "crescent": "cres crsent", "crossing": "xing crssng", "crossroad": "xrd", "dale": "dl", "drive": "dr drv driv", "estate": "est", "estates": "ests", "expressway": "expy exp expr expw", "extension": "ext extn", "falls": "fls", "ferry": "fry frry", "field": "fld", "flats": "flts", "ford": "frd",
+    "forest": "frst", "fork": "frk", "freeway": "fwy freewy frway", "garden": "gdn gardn", "gardens": "gdns", "gateway": "gtwy", "glen": "gln", "green": "grn", "grove": "grv grov", "harbor": "hbr harbr", "haven": "hvn", "heights": "hts ht", "highway": "hwy hiway hgwy highwy hway", "hill": "hl",
+    "hills": "hls", "hollow": "holw hollw", "island": "is islnd", "isle": "isles", "junction": "jct jctn", "knoll": "knl", "lake": "lk", "landing": "lndg", "lane": "ln", "lights": "lgts", "loop": "lp loops", "mall": "", "manor": "mnr", "meadow": "mdw", "meadows": "mdws", "mews": "", "mill": "ml",
+    "motorway": "mtwy", "mountain": "mtn", "orchard": "orch", "oval": "ovl", "overpass": "opas", "park": "prk pk", "parkway": "pkwy pky pkway parkwy", "pass": "", "path": "paths", "pike": "pikes", "pine": "pne", "place": "pl", "plain": "pln", "plaza": "plz plza", "point": "pt", "prairie": "pr",
+    "promenade": "prom", "ranch": "rnch", "ridge": "rdg rdge", "river": "riv rvr", "road": "rd", "roads": "rds", "route": "rte", "row": "", "run": "", "shore": "shr", "spring": "spg", "springs": "spgs", "spur": "", "square": "sq sqr squ", "station": "sta statn", "stream": "strm",
+    "street": "st str strt", "summit": "smt", "terrace": "ter terr", "trace": "trce", "track": "trak", "trail": "trl trails", "tunnel": "tunl", "turnpike": "tpke turnpk", "underpass": "upas", "union": "un", "valley": "vly vlly", "viaduct": "via", "view": "vw", "village": "vlg villg", "ville": "vl",
+    "vista": "vis vst", "walk": "walks", "way": "wy", "well": "wl", "wells": "wls",
+}
+#: Types that count as types wherever they follow a name; the others are words of the name, in full.
+HARD_TYPES = {
+    "alley", "avenue", "boulevard", "bypass", "causeway", "circle", "court", "courts", "cove", "crescent", "drive", "expressway", "extension", "freeway", "highway", "lane", "loop", "motorway", "parkway", "pass", "path", "pike", "place", "plaza", "promenade", "road", "roads", "route", "row",
+    "run", "square", "street", "terrace", "trail", "turnpike", "walk", "way",
 }
 DIRECTIONS = {"north": "n no", "south": "s so", "east": "e", "west": "w", "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw"}
-NAME_WORDS = {"saint": "st ste", "mount": "mt", "fort": "ft", "port": "pt", "point": "pnt"}
-CITY_WORDS = {"saint": "st ste", "mount": "mt", "fort": "ft", "port": "pt prt", "new": "n nw", "east": "e", "lake": "lk", "glen": "gln", "villa": "vlla"}
+NAME_WORDS = {"saint": "st ste", "mount": "mt", "fort": "ft", "port": "pt prt", "point": "pnt"}
+# Abbreviations of words in names of cities; where one stands for several, the word used by more rows is taken, else the first.
+CITY_WORDS = {
+    "n": "north new", "no": "north", "nw": "new northwest", "s": "south san", "so": "south", "e": "east", "w": "west", "ne": "northeast", "se": "southeast", "sw": "southwest", "st": "saint", "ste": "sainte saint", "mt": "mount mountain", "mtn": "mountain", "ft": "fort", "pt": "port point", "prt": "port", "pnt": "point", "lk": "lake", "gln": "glen", "gr": "grand great",
+    "vlg": "village", "spg": "spring", "spgs": "springs", "hts": "heights", "bch": "beach", "ctr": "center", "cyn": "canyon", "hbr": "harbor", "is": "island", "jct": "junction", "lks": "lakes", "pk": "park", "rdg": "ridge", "rvr": "river", "twp": "township", "vly": "valley", "fls": "falls", "gdns": "gardens", "hls": "hills", "grv": "grove", "twn": "town", "vlla": "villa",
+}
 ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth"]
 STATES = {
+    "district of columbia": "dc", "puerto rico": "pr", "american samoa": "as", "virgin islands": "vi", "northern mariana islands": "mp",
     "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "florida": "fl", "georgia": "ga", "guam": "gu", "hawaii": "hi", "idaho": "id",
     "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms",
     "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv", "new hampshire": "nh", "new jersey": "nj", "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd", "ohio": "oh", "oklahoma": "ok",
@@ -41,7 +58,10 @@ def spellings(words: dict[str, str]) -> dict[str, str]:
     return {s: full for full, short in words.items() for s in [full, *short.split()]}
 
 
-TYPE_OF, DIRECTION_OF, NAME_WORD_OF, CITY_WORD_OF = map(spellings, (TYPES, DIRECTIONS, NAME_WORDS, CITY_WORDS))
+TYPE_OF, DIRECTION_OF, NAME_WORD_OF = map(spellings, (TYPES, DIRECTIONS, NAME_WORDS))
+CITY_WORD_OF = {k: v.split() for k, v in CITY_WORDS.items()}
+#: Abbreviations that only open the name of a city.
+OPENING = {"n", "no", "nw", "ne", "s", "so", "se", "sw", "e", "w", "st", "ste", "ft", "pt", "prt", "gr", "lk", "mt", "gln", "vlla", "pnt", "is"}
 ORDINAL_OF = {w: f"{i}{'st' if i == 1 else 'nd' if i == 2 else 'rd' if i == 3 else 'th'}" for i, w in enumerate(ORDINALS, 1)}
 STATE_CODES = set(STATES.values())
 COUNTRY = re.compile(r"[,\s]+(?:u\.?s\.?a?\.?|united states(?: of america)?)\s*$")
@@ -60,12 +80,31 @@ def words_of(s: str) -> list[str]:
 
 
 def city_key(s: str | None) -> str:
-    """Letters of the city with its first word's abbreviation expanded; '' where it names none."""
+    """Letters of the city with abbreviated words expanded; '' where it names none.
+
+    An opening word with several expansions stays as it is, before a stop (``n.hesterly``): :func:`canonical` decides.
+    """
     w = words_of(fold(s or ""))
+    lead = ""
     if len(w) > 1:
-        w[0] = CITY_WORD_OF.get(w[0], w[0])
+        w = [w[0], *(CITY_WORD_OF[x][0] if x in CITY_WORD_OF and x not in OPENING else x for x in w[1:])]
+        many = CITY_WORD_OF.get(w[0], [])
+        if len(many) > 1:
+            lead, w = w[0] + ".", w[1:]
+        elif many:
+            w[0] = many[0]
     key = "".join(w)
-    return key if re.search("[a-z]", key) and key not in ("null", "none", "unknown", "na", "city") else ""
+    return lead + key if re.search("[a-z]", key) and key not in ("null", "none", "unknown", "na", "city") else ""
+
+
+def expansions(key: str) -> list[str]:
+    """The full forms that a :func:`city_key` may stand for, the usual one first."""
+    lead, stop, rest = key.partition(".")
+    return [x + rest for x in CITY_WORD_OF[lead]] if stop else [key]
+
+
+def same_city(a: str, b: str) -> bool:
+    return any(near(x, y) for x in expansions(a) for y in expansions(b))
 
 
 def near(a: str, b: str) -> bool:
@@ -98,21 +137,26 @@ def split_street(w: list[str], city: str) -> tuple[str, str, str, str]:
     direction = kind = ""
     if len(w) > 1 and w[0] in DIRECTION_OF and not (len(w) == 2 and w[1] in TYPE_OF):
         direction, w = DIRECTION_OF[w[0]], w[1:]
-    at = next((i for i in range(1, len(w)) if w[i] in TYPE_OF and not (w[i] in ("st", "ct", "pl") and i == 0)), None)
+    hard = [TYPE_OF.get(x) in HARD_TYPES for x in w]
+    at = next((i for i in range(1, len(w)) if hard[i]), None)
+    # the last of several in a row (bull run road), unless it opens a city (oak avenue saint louis)
+    while at is not None and at + 1 < len(w) and hard[at + 1] and not (w[at + 1] in NAME_WORD_OF and at + 2 < len(w)):
+        at += 1
     if at is None:
         rest, name = [], w
         for k in (3, 2, 1):  # a city that follows without a comma
-            if city and len(w) > k and near(city_key(" ".join(w[-k:])), city):
+            if city and len(w) > k and same_city(city_key(" ".join(w[-k:])), city):
                 name, rest = w[:-k], w[-k:]
                 break
         if len(name) > 1 and name[-1] in DIRECTION_OF and not direction:
             direction, name = DIRECTION_OF[name[-1]], name[:-1]
     else:
         name, kind, rest = w[:at], TYPE_OF[w[at]], w[at + 1 :]
-        if rest and rest[0] in DIRECTION_OF and not (len(rest) > 1 and city and rest[0] in CITY_WORD_OF and near(city_key(" ".join(rest)), city)) and (len(rest) != 2 or (city and near(city_key(rest[1]), city))):
+        if rest and rest[0] in DIRECTION_OF and not (len(rest) > 1 and city and rest[0] in CITY_WORD_OF and same_city(city_key(" ".join(rest)), city)) and (len(rest) != 2 or (city and same_city(city_key(rest[1]), city))):
             direction, rest = direction or DIRECTION_OF[rest[0]], rest[1:]
     if len(name) > 1:
         name[0] = NAME_WORD_OF.get(name[0], name[0])
+    name = name[:1] + [TYPE_OF.get(x, x) for x in name[1:]]
     return direction, "".join(ORDINAL_OF.get(x, x) for x in name), kind, city_key(" ".join(rest))
 
 
@@ -178,15 +222,25 @@ def parse(address: str | None, city: str | None = None, state: str | None = None
     return number, street, direction, kind, unit, city_col or a_city, st or a_state, zip5 or a_zip
 
 
-def parsed(rows: DataFrame, row_id: str, address: str, city: str, state: str, postal: str, *keep: str) -> DataFrame:
-    """(row_id, number, street, direction, type, unit, city, state, zip, *keep) for every row."""
+def parsed(rows: DataFrame, row_id: str, address: str, city: str, state: str, postal: str, *keep: str, extra: tuple[str, list[str], Callable] | None = None) -> DataFrame:
+    """(row_id, number, street, direction, type, unit, city, state, zip, *keep) for every row.
+
+    ``extra`` names one more column, the string fields read from it and the function that reads them from its value
+    and the city, so that the same Python pass serves both.
+    """
+    column, fields, read = extra or (address, [], None)
+    out = FIELDS + fields
 
-    @F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))
+    @F.pandas_udf(", ".join(f"{f} string" for f in out))
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
-            yield pd.DataFrame([parse(*x) for x in zip(*(c.astype(object).where(c.notna(), None) for c in cols))], columns=FIELDS)
+            found = []
+            for *x, other in zip(*(c.astype(object).where(c.notna(), None) for c in cols)):
+                p = parse(*x)
+                found.append(p + read(other, p[5]) if read else p)
+            yield pd.DataFrame(found, columns=out)
 
-    return rows.select(F.col(row_id).alias("row_id"), *keep, run(*[F.col(c).cast("string") for c in (address, city, state, postal)]).alias("_p")).select("row_id", *keep, "_p.*")
+    return rows.select(F.col(row_id).alias("row_id"), *keep, run(*[F.col(c).cast("string") for c in (address, city, state, postal, column)]).alias("_p")).select("row_id", *keep, "_p.*")
 
 
 def deletions(word: Column) -> Column:
@@ -199,24 +253,37 @@ def respelled(words: DataFrame, word: str, count: str, times: float = 2.0) -> Da
     """(word, better): spellings to be replaced by one that ``times`` as many rows use and that differs
     by one letter lost, added, changed or swapped with the next. Words that start with a digit stay.
 
-    Two such spellings share a deletion; each deletion keeps only its most used spelling, so the work
-    grows with the spellings and not with their pairs.
+    Two such spellings share a deletion. A deletion is shared by few spellings however many there are (one letter more
+    at one of its places), so all of them are held against each other.
     """
     w = words.select(F.col(word).alias("word"), F.col(count).alias("n")).where(F.col("word").rlike("^[a-z]") & (F.length("word") >= 4))
     keyed = w.select("word", "n", F.explode(deletions(F.col("word"))).alias("key"))
-    best = keyed.groupBy("key").agg(F.max(F.struct("n", F.col("word").alias("better"))).alias("b"))
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     far = F.levenshtein("word", "better")
-    found = keyed.join(best, "key").select("word", "n", "b.better", F.col("b.n").alias("m")).where((F.col("m") >= times * F.col("n")) & (F.col("word") != F.col("better")))
+    found = keyed.join(keyed.select("key", F.col("word").alias("better"), F.col("n").alias("m")), "key").where((F.col("m") >= times * F.col("n")) & (F.col("word") != F.col("better")))
     close = found.where((far <= 1) | ((far == 2) & (F.length("word") == F.length("better")) & (letters(F.col("word")) == letters(F.col("better")))))
     return close.groupBy("word").agg(F.max(F.struct("m", "better")).alias("b")).select("word", "b.better")
 
 
-def canonical(parts: DataFrame, keep_unlocated: bool = False) -> DataFrame:
+def city_spellings(counts: DataFrame) -> DataFrame:
+    """(city, better) for counts (city, n): abbreviations with several readings take the one more rows use, then misspellings go."""
+    spark = counts.sparkSession
+    table = spark.createDataFrame([(k, i, x) for k, v in CITY_WORD_OF.items() for i, x in enumerate(v) if len(v) > 1], "lead string, i int, full string")
+    short = counts.where("instr(city, '.') > 0").select("city", "n", F.split_part("city", F.lit("."), F.lit(1)).alias("lead"), F.split_part("city", F.lit("."), F.lit(2)).alias("rest"))
+    read = short.join(F.broadcast(table), "lead").select("city", "n", "i", F.concat("full", "rest").alias("plain"))
+    whole = counts.where("instr(city, '.') = 0")
+    used = read.join(whole.select(F.col("city").alias("plain"), F.col("n").alias("m")), "plain", "left")
+    chosen = used.groupBy("city", "n").agg(F.max_by("plain", F.struct(F.coalesce("m", F.lit(0)), -F.col("i"))).alias("plain"))
+    plain = whole.select("city", "n", F.col("city").alias("plain")).unionByName(chosen.select("city", "n", "plain"))
+    better = respelled(plain.groupBy("plain").agg(F.sum("n").alias("n")), "plain", "n").withColumnRenamed("word", "plain")
+    return plain.join(better, "plain", "left").select("city", F.coalesce("better", "plain").alias("better")).where("city <> better")
+
+
+def canonical(parts: DataFrame, keep_unlocated: bool = False, stages: list[str] | None = None) -> DataFrame:
     """Adds ``location`` to parsed rows (``parts`` must be a stored table: it is read several times).
 
     ``location`` is a key shared by all rows that denote one location; rows for which no street or city is known
-    have none and are left out, or kept with a null ``location``.
+    have none and are left out, or kept with a null ``location``. Paths of stored stages are added to ``stages``.
     Rules for what is missing, applied in this order:
     city: the ZIP's most frequent city; still none: no location.
     direction, type: the only one that rows of the same city, number and street write and that agrees with the
@@ -224,23 +291,31 @@ def canonical(parts: DataFrame, keep_unlocated: bool = False) -> DataFrame:
     unit: never filled in; a row without unit is another location than a row with one.
     State and ZIP take no part in the key: cities are told apart by name.
     """
-    def corrected(df: DataFrame, counted: DataFrame, col: str) -> DataFrame:
-        m = respelled(counted.where(f"{col} <> ''").groupBy(col).count(), col, "count").withColumnsRenamed({"word": col, "better": "_b"})
-        return df.join(m, col, "left").withColumn(col, F.coalesce("_b", col)).drop("_b")
-
-    # each stage is stored: the next reads it more than once, and no plan grows over all of them
-    cities, _ = materialize(corrected(parts, parts, "city"), "cities")
-    zip_city = cities.where("zip <> '' AND city <> ''").groupBy("zip", "city").count().groupBy("zip").agg(F.max_by("city", F.struct("count", "city")).alias("_zc"))
-    filled = cities.join(zip_city, "zip", "left").withColumn("_lost", F.col("city") == "").withColumn("city", F.when(F.col("_lost"), F.coalesce("_zc", "city")).otherwise(F.col("city")))
+    def looked_up(df: DataFrame, m: DataFrame, col: str, value: str) -> DataFrame:
+        """``df`` with ``value`` of ``m`` (one row per ``col``). Blank keys find nothing and are spread, not sent to one task."""
+        key = F.when(F.col(col) == "", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("row_id", "city", "zip", "street"), F.lit(997)))).otherwise(F.col(col))
+        return df.withColumn("_k", key).join(m.select(F.col(col).alias("_k"), value), "_k", "left").drop("_k")
+
+    # all that is learnt from the rows is counted per spelling; the rows themselves are stored once
+    words, path = materialize(city_spellings(parts.where("city <> ''").groupBy("city").agg(F.count("*").alias("n"))).withColumnRenamed("better", "_b"), "city-words")
+    zips = parts.where("zip <> '' AND city <> ''").groupBy("zip", "city").count().join(words, "city", "left")
+    zip_city = zips.groupBy("zip", F.coalesce("_b", "city").alias("c")).agg(F.sum("count").alias("n")).groupBy("zip").agg(F.max_by("c", F.struct("n", "c")).alias("_zc"))
+    streets = respelled(parts.where("number <> '' AND street <> ''").groupBy("street").count(), "street", "count").withColumnsRenamed({"word": "street", "better": "_s"})
+    filled = looked_up(parts, words, "city", "_b").withColumn("city", F.coalesce("_b", "city"))
+    filled = looked_up(filled, zip_city, "zip", "_zc").withColumn("_lost", F.col("city") == "").withColumn("city", F.when(F.col("_lost"), F.coalesce("_zc", "city")).otherwise(F.col("city")))
     # a city that follows the street without a comma or a type could not be told apart before
     tail = F.col("_lost") & (F.col("city") != "") & F.col("street").endswith(F.col("city")) & (F.length("street") > F.length("city"))
-    filled = filled.withColumn("street", F.when(tail, F.expr("left(street, length(street) - length(city))")).otherwise(F.col("street"))).drop("_lost", "_zc")
-    rows, _ = materialize(corrected(filled, cities.where("number <> ''"), "street").select(*parts.columns), "streets")
+    filled = filled.withColumn("street", F.when(tail, F.expr("left(street, length(street) - length(city))")).otherwise(F.col("street")))
+    filled = looked_up(filled, streets, "street", "_s").withColumn("street", F.coalesce("_s", "street"))
+    rows, rows_path = materialize(filled.select(*parts.columns), "streets")
+    if stages is not None:
+        stages += [path, rows_path]
     located = (F.col("number") != "") & (F.col("city") != "")
-    block = ["city", "number", "street"]
+    block = F.concat_ws("|", "city", "number", "street")
     # at most one entry per direction and type, however many rows
-    known = rows.where(located & ((F.col("direction") != "") | (F.col("type") != ""))).groupBy(*block).agg(F.collect_set(F.struct("direction", "type")).alias("_known"))
-    j = (rows if keep_unlocated else rows.where(located)).join(known, block, "left")
+    known = rows.where(located & ((F.col("direction") != "") | (F.col("type") != ""))).groupBy(block.alias("_k")).agg(F.collect_set(F.struct("direction", "type")).alias("_known"))
+    spread = F.when(located, block).otherwise(F.concat(F.lit("\x00"), F.pmod(F.xxhash64("row_id", "city", "zip"), F.lit(997))))
+    j = (rows if keep_unlocated else rows.where(located)).withColumn("_k", spread).join(known, "_k", "left").drop("_k")
 
     def only(want: str, given: str) -> Column:
         """The one value of ``want`` among the block's variants that agree in ``given``."""

@@ -15,7 +15,7 @@ and are expanded again at the end. Missing attributes are left out of the likeli
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -24,19 +24,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.llm.addresses import canonical, edits, fold, parsed, words_of
-from placeloom.session import materialize
+from placeloom.session import discard, materialize
 
 # Words that say what sort of venue it is, legal forms, and stand-ins for names.
-KINDS = ["bakery", "bar", "bistro", "brasserie", "cafe", "cantina", "deli", "diner", "eatery", "grill", "house", "izakaya", "kitchen", "noodle", "pizzeria", "restaurant", "smokehouse", "taqueria", "tavern", "trattoria"]
+KINDS = (
+    "bakery bar barbecue bistro brasserie brewery buffet burgers cafe cafeteria canteen cantina catering chophouse cocina coffee coffeehouse confectionery creamery creperie deli delicatessen diner drivein eatery gastropub grill grille "
+    "hotel house inn izakaya joint kitchen lounge market noodle noodles osteria patisserie pizza pizzeria pub ramen restaurant ristorante roastery rotisserie saloon sandwiches shop smokehouse steakhouse sushi taproom taqueria tavern tearoom trattoria"
+).split()
 LEGAL = {"llc", "inc", "ltd", "co", "corp", "company", "the", "and", "a", "of", "at"}
 NO_NAME = {"unnamed", "unknown", "na", "none", "null", "test", "tbd", "noname", "namemissing", "name", "venue", "business"}
 FEATURES = ["name", "address", "postal", "phone", "place"]
 STEPS = 20
+RADIX = STEPS + 2
 #: Share of values that say nothing about their record, by feature.
 STRAY = [1e-4, 1e-3, 0.02, 0.02, 0.02]
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=50_000)
 def kind_of(token: str) -> str:
     """The kind word that ``token`` is, misspells by one letter or abbreviates; else ''."""
     if token in KINDS:
@@ -46,7 +50,8 @@ def kind_of(token: str) -> str:
             it = iter(k)
             if k.startswith(token) or (all(c in it for c in token) and token[-1] == k[-1] and len(token) >= 0.6 * len(k)):
                 return k
-        if len(k) >= 5 and len(token) >= 4 and edits(token, k, 1) <= 1:
+        # short kinds differ from common words by one letter (horse, stone), so there only swapped letters count
+        if len(k) >= 6 and len(token) >= 5 and edits(token, k, 1) <= 1 or len(k) >= 4 and token[0] == k[0] and sorted(token) == sorted(k):
             return k
     return ""
 
@@ -69,7 +74,7 @@ def name_parts(name: str | None, city: str = "") -> tuple[str, str]:
     return " ".join(core), " ".join(sorted({k for k in kinds.values() if k and k != "restaurant"}))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=50_000)
 def token_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -80,6 +85,7 @@ def token_likeness(a: str, b: str) -> float:
     return 1 - d / max(len(a), len(b)) if d <= most else 0.0
 
 
+@lru_cache(maxsize=50_000)
 def name_likeness(core_a: str, kinds_a: str, core_b: str, kinds_b: str) -> float:
     """Share of the letters in like words, lowered by a fifth when the kinds differ; -1 if a name is missing."""
     if not core_a or not core_b:
@@ -98,19 +104,20 @@ def name_likeness(core_a: str, kinds_a: str, core_b: str, kinds_b: str) -> float
 
 def profile(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profiles, members): distinct records without their ids, and the rows behind each."""
-    @F.pandas_udf("core string, kinds string")
-    def names(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for name, city in batches:
-            yield pd.DataFrame([name_parts(n, c) for n, c in zip(name.astype(object).where(name.notna(), None), city)], columns=["core", "kinds"])
-
-    parts, _ = materialize(parsed(records, "rid", "address", "city_text", "state_text", "postal", "src", "name", "phones", "lat", "lng").withColumn("_n", names("name", "city")).select("*", "_n.*").drop("_n", "name"), "records")
-    full = canonical(parts, keep_unlocated=True)
+    spark = records.sparkSession
+    # one Python pass reads address and name together
+    parts, at = materialize(parsed(records, "rid", "address", "city_text", "state_text", "postal", "src", "phones", "lat", "lng", extra=("name", ["core", "kinds"], name_parts)), "records")
+    stages = [at]
+    full = canonical(parts, keep_unlocated=True, stages=stages)
     known = F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180) & (F.abs("lat") + F.abs("lng") > 0.5) & (F.abs("lat") > 0.01) & (F.abs("lng") > 0.01)
     full = full.withColumn("lat", F.when(known, F.col("lat"))).withColumn("lng", F.when(known, F.col("lng")))
     spot = F.when(F.col("location").isNull(), F.concat_ws(",", F.round("lat", 3), F.round("lng", 3)))
     key = F.unhex(F.md5(F.concat_ws("\x1f", "src", F.coalesce("location", F.lit("")), "core", "kinds", "city", "zip", F.array_join("phones", ","), F.coalesce(spot, F.lit("")))))
-    rows, _ = materialize(full.withColumn("pid", key), "profiled")
-    profiles, _ = materialize(rows.groupBy("pid").agg(*[F.first(c).alias(c) for c in ("src", "location", "number", "street", "direction", "type", "unit", "city", "zip", "core", "kinds", "phones")], F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), "profiles")
+    kept = ("src", "location", "number", "street", "direction", "type", "unit", "city", "zip", "core", "kinds", "phones")
+    rows, _ = materialize(full.select(key.alias("pid"), "row_id", *kept, "lat", "lng"), "profiled")
+    for path in stages:
+        discard(spark, path)
+    profiles, _ = materialize(rows.groupBy("pid").agg(*[F.first(c).alias(c) for c in kept], F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), "profiles")
     return profiles, rows.select("pid", "src", F.col("row_id").alias("rid"))
 
 
@@ -143,8 +150,24 @@ def candidates(p: DataFrame) -> DataFrame:
     return near.unionByName(far).distinct()
 
 
+def code(values: Sequence[Column]) -> Column:
+    """One number for a vector of small integers from -1 to ``STEPS``."""
+    return sum(((v + 1) * RADIX**i for i, v in enumerate(values)), F.lit(0)).cast("int")
+
+
+def decoded(v: np.ndarray) -> np.ndarray:
+    """The vectors behind :func:`code`, one row each."""
+    return np.stack([v // RADIX**i % RADIX - 1 for i in range(len(FEATURES))], axis=1).astype(float)
+
+
+def feature(name: str) -> Column:
+    return F.floor(F.col("v") / RADIX ** FEATURES.index(name)) % RADIX - 1
+
+
 def vectors(pairs: DataFrame, p: DataFrame) -> DataFrame:
-    """(a, b, src_a, src_b, one small integer 0..STEPS or -1 for each of ``FEATURES``) for pairs of profiles."""
+    """(a, b, side, v) for pairs of profiles: ``v`` is the :func:`code` of small integers 0..STEPS, or -1 for
+    unknown, for each of ``FEATURES``; ``side`` is 0 within a source, 1 where a is of source 'l', 2 where b is.
+    """
     @F.pandas_udf("double")
     def likeness(ca: pd.Series, ka: pd.Series, cb: pd.Series, kb: pd.Series) -> pd.Series:
         return pd.Series([name_likeness(*x) for x in zip(ca, ka, cb, kb)], dtype="float64")
@@ -152,8 +175,8 @@ def vectors(pairs: DataFrame, p: DataFrame) -> DataFrame:
     # equality of places is all that is asked, so their keys travel as hashes
     at = F.when(F.col("location").isNotNull(), F.xxhash64("location")).alias("at")
     slim = F.struct("src", at, F.xxhash64("city", "number", "street").alias("street"), "direction", "type", "unit", "zip", "core", "kinds", "phones", "lat", "lng")
-    side = lambda s: p.select(F.col("pid").alias(f"p{s}"), slim.alias(s))
-    j = pairs.join(side("a"), "pa").join(side("b"), "pb")
+    end = lambda s: p.select(F.col("pid").alias(f"p{s}"), slim.alias(s))
+    j = pairs.join(end("a"), "pa").join(end("b"), "pb")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     missing = a("at").isNull() | b("at").isNull()
     street = a("street") == b("street")
@@ -166,8 +189,16 @@ def vectors(pairs: DataFrame, p: DataFrame) -> DataFrame:
     # between two located records the address says more than the pins, which are often damaged
     place = F.when(~missing | km.isNull(), -1.0).when(km < 0.2, 1.0).when(km < 0.5, 0.7).when(km < 2, 0.3).otherwise(0.0)
     small = lambda c: F.when(c < 0, -1).otherwise(F.round(c * STEPS)).cast("int")
-    cols = j.select(F.col("pa").alias("a_id"), F.col("pb").alias("b_id"), a("src").alias("src_a"), b("src").alias("src_b"), a("core").alias("ca"), a("kinds").alias("ka"), b("core").alias("cb"), b("kinds").alias("kb"), small(address).alias("address"), small(postal).alias("postal"), small(phone).alias("phone"), small(place).alias("place"))
-    return cols.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "src_a", "src_b", small(likeness("ca", "ka", "cb", "kb")).alias("name"), "address", "postal", "phone", "place")
+    side = F.when(a("src") == b("src"), 0).when(a("src") == "l", 1).otherwise(2).cast("byte").alias("side")
+    cols = j.select(F.col("pa").alias("a"), F.col("pb").alias("b"), side, a("core").alias("ca"), a("kinds").alias("ka"), b("core").alias("cb"), b("kinds").alias("kb"), *[small(c).alias(f) for f, c in (("address", address), ("postal", postal), ("phone", phone), ("place", place))])
+    named = cols.select("a", "b", "side", small(likeness("ca", "ka", "cb", "kb")).alias("name"), *FEATURES[1:])
+    return named.select("a", "b", "side", code([F.col(f) for f in FEATURES]).alias("v"))
+
+
+def likely(x: np.ndarray) -> np.ndarray:
+    """Which vectors start as matches: alike by four fifths in what is known, and alike in name."""
+    there = x >= 0
+    return (np.where(there, x, 0).sum(axis=1) / np.maximum(1, there.sum(axis=1)) / STEPS > 0.8) & (x[:, 0] > 0.7 * STEPS)
 
 
 def closed(pairs: DataFrame, p: DataFrame) -> DataFrame:
@@ -175,19 +206,20 @@ def closed(pairs: DataFrame, p: DataFrame) -> DataFrame:
 
     A link is strong where its similarities would start it as a match. Each pass takes paths with a link of the last one.
     """
-    there = [F.when(F.col(f) >= 0, F.col(f)).otherwise(0) for f in FEATURES]
-    known = [(F.col(f) >= 0).cast("int") for f in FEATURES]
+    x = [feature(f) for f in FEATURES]
+    total, known = sum(F.greatest(c, F.lit(0)) for c in x), sum((c >= 0).cast("int") for c in x)
+    strong = lambda df: df.where((total > 0.8 * STEPS * known) & (x[0] > 0.7 * STEPS)).select("a", "b")
 
     def links(df: DataFrame, end: str) -> DataFrame:
-        strong = df.where((sum(there[1:], there[0]) > 0.8 * STEPS * sum(known[1:], known[0])) & (F.col("name") > 0.7 * STEPS)).select("a", "b")
-        return strong.select(F.col("a").alias("mid"), F.col("b").alias(end)).unionByName(strong.select(F.col("b").alias("mid"), F.col("a").alias(end)))
+        return df.select(F.col("a").alias("mid"), F.col("b").alias(end)).unionByName(df.select(F.col("b").alias("mid"), F.col("a").alias(end)))
 
     fresh = pairs
     while True:
-        thirds = links(fresh, "x").join(links(pairs, "y"), "mid").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        thirds = links(strong(fresh), "x").join(links(strong(pairs), "y"), "mid").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = thirds.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumnsRenamed({"a": "pa", "b": "pb"})
-        fresh, _ = materialize(vectors(new, p), "thirds")
+        fresh, path = materialize(vectors(new, p), "thirds")
         if fresh.isEmpty():
+            discard(pairs.sparkSession, path)
             return pairs
         pairs = pairs.unionByName(fresh)
 
@@ -224,52 +256,54 @@ class Mixture:
             odds += np.where(self.there[:, j], np.log(p[1] / p[0]), 0.0)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
-    def column(self) -> Column:
-        """The posterior as an expression over the feature columns."""
-        odds = F.lit(float(np.log(self.prior[1] / self.prior[0])))
-        for j, f in enumerate(FEATURES):
-            x = F.col(f) / STEPS
-            p = [F.lit(float((1 - STRAY[j]) / np.sqrt(2 * np.pi * v))) * F.exp(-(x - float(m)) * (x - float(m)) / float(2 * v)) + STRAY[j] for m, v in zip(self.mean[:, j], self.var[:, j])]
-            odds = odds + F.when(F.col(f) >= 0, F.log(p[1] / p[0])).otherwise(0.0)
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
 
+def weighed(pairs: DataFrame, codes: np.ndarray, gamma: np.ndarray) -> DataFrame:
+    """``pairs`` with the posterior of their vector: a table of at most 22 x 7 x 5 x 4 x 6 rows, whatever the number of pairs."""
+    look = pairs.sparkSession.createDataFrame(pd.DataFrame({"v": codes.astype("int32"), "gamma": gamma}), "v int, gamma double")
+    return pairs.join(F.broadcast(look), "v")
 
-def transitive(scored: DataFrame) -> DataFrame:
-    """``scored`` (a, b, gamma, ...) with gamma made consistent over triangles of candidate pairs.
 
-    Where gamma(a,b) gamma(b,c) exceeds gamma(a,c), the cheaper repair in log-odds is taken: raise the third
-    side to the product, or lower the weaker of the two links. Only links of 0.5 and more can bind.
-    With a column ``low``, rows that have it are not raised; ``low`` and ``moved`` then say what this pass did.
+def repairs(scored: DataFrame) -> DataFrame:
+    """(a, b, v, g, up, down): what triangles of candidate pairs ask of the gamma ``g`` of a pair.
+
+    Where gamma(a,b) gamma(b,c) exceeds gamma(a,c), the cheaper repair in log-odds is taken: raise the third side to
+    the product (``up``), or lower the weaker of the two links (``down``). Only links of 0.5 and more can bind, and
+    rows with ``low`` are not raised.
     """
-    if "low" not in scored.columns:
-        return transitive(scored.withColumn("low", F.lit(False))).drop("low", "moved")
-    strong = scored.where("gamma >= 0.5").select("a", "b", "gamma")
-    both = strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "gamma"))
-    legs = both.select(F.col("b").alias("mid"), F.col("a").alias("x"), F.col("gamma").alias("gx")).join(both.select(F.col("b").alias("mid"), F.col("a").alias("y"), F.col("gamma").alias("gy")), "mid").where("x < y")
-    weak = scored.where("gamma < 0.999").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("gamma").alias("g"), "low")
-    bad = legs.join(weak, ["x", "y"]).where("gx * gy > g + 1e-6")
+    strong = scored.where("gamma >= 0.5").select("a", "b", "v", "gamma")
+    both = strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "v", "gamma"))
+    leg = lambda e: both.select(F.col("b").alias("mid"), F.col("a").alias(e), F.col("v").alias(f"v{e}"), F.col("gamma").alias(f"g{e}"))
+    weak = scored.where("gamma < 0.999").select(F.col("a").alias("x"), F.col("b").alias("y"), "v", F.col("gamma").alias("g"), "low")
+    bad = leg("x").join(leg("y"), "mid").where("x < y").join(weak, ["x", "y"]).where("gx * gy > g + 1e-6")
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c) + 1e-12) + 1e-12)
-    leg = F.when(F.col("gx") <= F.col("gy"), F.struct(F.col("x").alias("p"), F.col("gx").alias("g"), F.col("gy").alias("o"))).otherwise(F.struct(F.col("y").alias("p"), F.col("gy").alias("g"), F.col("gx").alias("o")))
     lift = ~F.col("low") & (odds("g") + F.least(odds("gx"), odds("gy")) >= 0)
-    change = F.when(lift, F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("up"), (F.col("gx") * F.col("gy")).alias("to"))).otherwise(
-        F.struct(F.least(leg["p"], F.col("mid")).alias("a"), F.greatest(leg["p"], F.col("mid")).alias("b"), F.lit(0).alias("up"), F.least(leg["g"], F.col("g") / leg["o"]).alias("to")))
-    asked = bad.select(change.alias("c")).groupBy("c.a", "c.b").agg(F.max(F.when(F.col("c.up") == 1, F.col("c.to"))).alias("_up"), F.min(F.when(F.col("c.up") == 0, F.col("c.to"))).alias("_down"))
-    down = F.col("_up").isNull() & F.col("_down").isNotNull()
-    done = scored.join(asked, ["a", "b"], "left").withColumn("low", F.col("low") | down).withColumn("moved", F.col("_up").isNotNull() | F.col("_down").isNotNull())
-    return done.withColumn("gamma", F.coalesce("_up", "_down", "gamma")).drop("_up", "_down")
+    end = lambda e, other: F.struct(F.least(e, "mid").alias("a"), F.greatest(e, "mid").alias("b"), F.col(f"v{e}").alias("v"), F.col(f"g{e}").alias("g"), F.lit(None).cast("double").alias("up"), F.least(F.col(f"g{e}"), F.col("g") / F.col(f"g{other}")).alias("down"))
+    raised = F.struct(F.col("x").alias("a"), F.col("y").alias("b"), "v", "g", (F.col("gx") * F.col("gy")).alias("up"), F.lit(None).cast("double").alias("down"))
+    asked = bad.select(F.when(lift, raised).when(F.col("gx") <= F.col("gy"), end("x", "y")).otherwise(end("y", "x")).alias("c")).select("c.*")
+    return asked.groupBy("a", "b", "v", "g").agg(F.max("up").alias("up"), F.min("down").alias("down"))
+
+
+def transitive(scored: DataFrame) -> DataFrame:
+    """``scored`` (a, b, v, gamma, low, ...) after one pass of :func:`repairs`; ``low`` and ``moved`` say what it did."""
+    asked = repairs(scored).select("a", "b", "up", "down")
+    done = scored.join(asked, ["a", "b"], "left").withColumn("low", F.col("low") | (F.col("up").isNull() & F.col("down").isNotNull())).withColumn("moved", F.col("up").isNotNull() | F.col("down").isNotNull())
+    return done.withColumn("gamma", F.coalesce("up", "down", "gamma")).drop("up", "down")
 
 
 def settled(scored: DataFrame) -> DataFrame:
     """:func:`transitive` until no triangle asks for a change. A pair once lowered is never raised again, so it ends."""
-    now = scored.withColumn("low", F.lit(False))
+    now, old = scored.withColumn("low", F.lit(False)), None
     while True:
-        now, _ = materialize(transitive(now.drop("moved")), "settled")
+        now, path = materialize(transitive(now.drop("moved")), "settled")
+        if old:
+            discard(scored.sparkSession, old)
+        old = path
         if now.where("moved").isEmpty():
             return now.drop("low", "moved")
 
 
-def match(records: DataFrame, rounds: int = 3, inner: int = 25) -> DataFrame:
-    """(left_id, right_id, posterior) of every candidate pair between the sources 'l' and 'r'.
+def match(records: DataFrame, rounds: int = 3, inner: int = 25, least: float = 0.0) -> DataFrame:
+    """(left_id, right_id, posterior) of every candidate pair between the sources 'l' and 'r' whose posterior is at least ``least``.
 
     ``records``: src, rid (string), name, address, city_text, state_text, postal, phones (array of the last ten
     digits, sorted, distinct), lat, lng. Rows without id match nothing; repeated rows are kept as one pair. Any
@@ -279,26 +313,25 @@ def match(records: DataFrame, rounds: int = 3, inner: int = 25) -> DataFrame:
     blocked, _ = materialize(vectors(candidates(profiles), profiles), "vectors")
     pairs = closed(blocked, profiles)
     # at most one row per vector: 22 x 7 x 5 x 4 x 6, whatever the number of pairs
-    hist = pairs.groupBy(*FEATURES).count().toPandas().sort_values(FEATURES)
+    hist = pairs.groupBy("v").count().toPandas().sort_values("v")
     if hist.empty:
         return members.select(F.col("rid").alias("left_id"), F.col("rid").alias("right_id"), F.lit(0.0).alias("posterior")).limit(0)
-    x, weight = hist[FEATURES].to_numpy(float), hist["count"].to_numpy(float)
-    there = x >= 0
-    start = (np.where(there, x, 0).sum(axis=1) / np.maximum(1, there.sum(axis=1)) / STEPS > 0.8) & (x[:, 0] > 0.7 * STEPS)
-    mix = Mixture(x, weight, start.astype(float))
-    scored = pairs
+    codes, weight = hist["v"].to_numpy(), hist["count"].to_numpy(float)
+    x = decoded(codes)
+    mix = Mixture(x, weight, likely(x).astype(float))
     for r in range(rounds):
         for _ in range(inner):
             mix.fit(mix.posterior())
-        scored = pairs.withColumn("gamma", mix.column())
-        if r == rounds - 1:
-            scored = settled(scored.drop(*FEATURES))
-        else:
-            scored = transitive(scored)
-            # maximise from the corrected responsibilities of all pairs
-            means = scored.groupBy(*FEATURES).agg(F.avg("gamma").alias("g")).toPandas().sort_values(FEATURES)
-            mix.fit(means["g"].to_numpy())
-    cross = scored.where("src_a <> src_b").select(F.when(F.col("src_a") == "l", F.col("a")).otherwise(F.col("b")).alias("l"), F.when(F.col("src_a") == "l", F.col("b")).otherwise(F.col("a")).alias("r"), F.col("gamma").alias("posterior"))
+        gamma = mix.posterior()
+        if r < rounds - 1:
+            # maximise from the corrected responsibilities of all pairs: the vector's own, moved by what triangles ask
+            asked = repairs(weighed(pairs, codes, gamma).withColumn("low", F.lit(False)))
+            moves = asked.groupBy("v").agg(F.sum(F.coalesce("up", "down") - F.col("g")).alias("d")).toPandas()
+            shift = np.zeros(len(codes))
+            shift[np.searchsorted(codes, moves["v"].to_numpy())] = moves["d"].to_numpy(float)
+            mix.fit(np.clip(gamma + shift / weight, 0.0, 1.0))
+    scored = settled(weighed(pairs, codes, mix.posterior()))
+    cross = scored.where((F.col("side") > 0) & (F.col("gamma") >= least)).select(F.when(F.col("side") == 1, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(F.col("side") == 1, F.col("b")).otherwise(F.col("a")).alias("r"), F.col("gamma").alias("posterior"))
     left, right = members.where("src = 'l'").select(F.col("pid").alias("l"), F.col("rid").alias("left_id")), members.where("src = 'r'").select(F.col("pid").alias("r"), F.col("rid").alias("right_id"))
     return cross.join(left, "l").join(right, "r").groupBy("left_id", "right_id").agg(F.max("posterior").alias("posterior"))
 

@@ -17,7 +17,7 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_matches(spark, d).where("posterior >= 0.5").select("restaurant_id", "place_id")
+    return entity_match.match_venues(table(spark, d, "restaurants"), table(spark, d, "places"), least=0.5).select("restaurant_id", "place_id")
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ COLS = ("address", "city", "state", "postal_code")
 @pytest.mark.parametrize(
     "row, want",
     [
-        (("4712 N Almondhaven Ave #B", "Pt Calder", "UT", "37856"), ("4712", "almondhaven", "north", "avenue", "b", "portcalder", "ut", "37856")),
+        (("4712 N Almondhaven Ave #B", "Pt Calder", "UT", "37856"), ("4712", "almondhaven", "north", "avenue", "b", "pt.calder", "ut", "37856")),
         (("Thyme Way, 7683, Port Calder, 37856", None, None, None), ("7683", "thyme", "", "way", "", "portcalder", "", "37856")),
         (("STE #102 8859 PELMORFIELD AVE LARCHVILLE GA 90293", "Larchville", "Georgia", None), ("8859", "pelmorfield", "", "avenue", "102", "larchville", "ga", "90293")),
         (("7943 E. St Belisa St (2nd floor) - Fort Hadley, CA", "Ft Hadley", "CA", "1234"), ("7943", "saintbelisa", "east", "street", "", "forthadley", "ca", "01234")),
@@ -48,3 +48,13 @@ def test_empty(spark):
 
 def test_edits():
     assert ad.edits("quillstead", "quilsltead", 2) == 1 and ad.edits("abc", "abcd", 2) == 1 and ad.edits("abc", "xyz", 2) == 3
+
+
+def test_cities_and_types_of_other_places(spark):
+    for a, b in [("N. Hollywood", "North Hollywood"), ("W. Covina", "West Covina"), ("So. Bend", "South Bend"), ("Ft. Worth", "Fort Worth"), ("Palm Bch", "Palm Beach")]:
+        assert set(ad.expansions(ad.city_key(a))) & set(ad.expansions(ad.city_key(b)))
+    assert ad.parse("12 Shady Cv", "x")[3] == "cove" and ad.parse("7 Santa Monica Fwy", "x")[3] == "freeway" and ad.parse("9 Sunset Park Blvd", "x")[1:4] == ("sunsetpark", "", "boulevard")
+    assert ad.parse("9 Lincoln Pk Austin", "Austin")[1:6] == ad.parse("9 Lincoln Park", "Austin")[1:6] == ("lincolnpark", "", "", "", "austin") and ad.parse("9 Bull Run Rd", "x")[1:4] == ("bullrun", "", "road") and ad.parse("5 River Rd N", "x")[1:4] == ("river", "north", "road")
+    full = ("100 Oak St", "North Hollywood", "CA", None), ("100 Oak St", "New Hesterly", "UT", None)
+    rows = [*full, ("100 Oak St", "N. Hollywood", "CA", None), ("100 Oak Street", "N Hesterly", "UT", None), ("100 Oak St", "W. Covina", "CA", None), ("100 Oak St", "West Covina", "CA", None)]
+    assert {(r.id_a, r.id_b) for r in ad.same_location_pairs(run(spark, rows)).collect()} == {(0, 2), (1, 3), (4, 5)}

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from placeloom.llm import entity_match as em
 
 
@@ -45,11 +48,18 @@ def test_empty(spark):
 
 
 def test_transitive_repairs(spark):
-    df = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.98), ("a", "c", 0.4), ("x", "y", 0.6), ("y", "z", 0.9), ("x", "z", 0.001)], "a string, b string, gamma double")
+    df = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.98), ("a", "c", 0.4), ("x", "y", 0.6), ("y", "z", 0.9), ("x", "z", 0.001)], "a string, b string, gamma double").selectExpr("*", "7 AS v", "false AS low")
     got = {(r.a, r.b): r.gamma for r in em.transitive(df).collect()}
     assert abs(got["a", "c"] - 0.99 * 0.98) < 1e-9 and abs(got["x", "y"] - 0.001 / 0.9) < 1e-9 and got["y", "z"] == 0.9
 
 
+def test_vectors_have_one_number(spark):
+    rows = [(-1, 0, 20, 7, -1), (20, 20, 20, 20, 20), (-1, -1, -1, -1, -1)]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in em.FEATURES)).withColumn("v", em.code([F.col(f) for f in em.FEATURES]))
+    got = df.select("v", *[em.feature(f).cast("int").alias(f) for f in em.FEATURES]).collect()
+    assert [tuple(r)[1:] for r in got] == rows and em.decoded(np.array([r.v for r in got])).tolist() == [list(map(float, r)) for r in rows]
+
+
 def test_rows_without_address_meet_near_spellings(spark):
     rows = [
         # a lost row and a partner without ZIP, with its ZIP transposed, with a letter wrong; then another venue
@@ -75,5 +85,5 @@ def test_third_sides_become_candidates(spark):
 
 def test_repairs_go_on_until_stable(spark):
     chain = [("a", "b", 0.99), ("b", "c", 0.99), ("c", "d", 0.99), ("a", "c", 0.6), ("b", "d", 0.6), ("a", "d", 0.5)]
-    got = {(r.a, r.b): r.gamma for r in em.settled(spark.createDataFrame(chain, "a string, b string, gamma double")).collect()}
+    got = {(r.a, r.b): r.gamma for r in em.settled(spark.createDataFrame(chain, "a string, b string, gamma double").selectExpr("*", "7 AS v")).collect()}
     assert abs(got["a", "d"] - 0.99**3) < 1e-6 and len(got) == 6
