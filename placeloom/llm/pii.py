@@ -1,14 +1,15 @@
 """Personal information inside free text: a linear-chain conditional random field.
 
-Tokens are runs of letters or digits and single marks. The field's features are a token's own shape,
-affixes and words and those of its neighbours; its weights are fitted by L-BFGS on a small labelled table.
-Decoding is Viterbi in numpy over batches of many sentences. A sentence in which no token can begin or
-continue anything personal is O throughout and is not decoded. Exact checks then set a found span's
+Tokens are runs of letters or digits and single marks. The field's features are a token's own shape, affixes and
+words, how common it is in a public tokenizer's vocabulary, and the same of its neighbours; its weights are fitted by
+L-BFGS on a small labelled table. Decoding is Viterbi in numpy over batches of many sentences. Sentences are passed over
+only where a bound proves that Viterbi would label every token O. Exact checks then set a found span's
 edges (a number's plus sign, a mail name's first character) and drop spans that cannot be of their kind.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -18,18 +19,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.addresses import DIRECTION_OF, TYPE_OF
+from placeloom.llm.addresses import DIRECTION_OF, HARD_TYPES, TYPE_OF
 from placeloom.llm.entity_match import KINDS as VENUE_KINDS
 from placeloom.llm.pii_labels import DIGIT_WORDS, KINDS, labelled
 
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
 TOKEN = re.compile(r"(?:[^\W\d_]+|\d+|[^\s])\s*|\s+")
-TITLES = {"mr", "mrs", "ms", "dr", "chef", "sr", "sra", "señor", "señora", "madame", "monsieur", "mme", "herr", "frau", "don", "doña"}
+TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "lady", "captain", "officer", "chef", "sr", "sra", "señor", "señora", "madame", "monsieur", "mme", "herr", "frau", "don", "doña"}
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Characters decoded at a time; a longer text is cut at a line's end, else at a sentence's, else at a space.
+BLOCK = 1_000_000
 PAD = "\n\n"
 OFFSETS = (0, -1, 1, -2, 2)
 
 
-def own_features(tok: str, near: bool) -> list[str]:
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> dict[bytes, int]:
+    """Tokens of a public tokenizer (tiktoken form) and their ranks; commoner words have smaller ones."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(k): int(n) for k, n in (line.split() for line in f if line.strip())}
+
+
+def parts(low: str, vocab: dict[bytes, int]) -> int:
+    """Into how few vocabulary entries the word falls when the longest is taken first, up to 4."""
+    left, n = f" {low}".encode(), 0
+    while left and n < 4:
+        k = next((k for k in range(min(len(left), 16), 1, -1) if left[:k] in vocab), 1)
+        left, n = left[k:], n + 1
+    return n
+
+
+def own_features(tok: str, near: bool, vocab: dict[bytes, int]) -> list[str]:
     """Features of one token (with its trailing space); ``near`` leaves out the rare ones, for neighbours."""
     w = tok.strip()
     tail = "line" if "\n" in tok else "gap" if tok != tok.rstrip() else "glued"
@@ -40,12 +60,15 @@ def own_features(tok: str, near: bool) -> list[str]:
         f = [f"d{min(len(w), 10)}"]
     elif w.isalpha():
         shape = "X" if len(w) == 1 and w.isupper() else "x1" if len(w) == 1 else "XX" if w.isupper() else "Xx" if w[0].isupper() else "x"
-        f = [shape, "w=" + low]
+        # a word that stands in the vocabulary in small letters is common; one only with a capital is a name
+        common, named = vocab.get(f" {low}".encode()), vocab.get(f" {low.capitalize()}".encode())
+        how = "c" if common is not None and common < 20_000 else "r" if common is not None else "n" if named is not None else "u"
+        f = [shape, "w=" + low, f"{shape}{how}", how, f"{shape}{how}{parts(low, vocab)}"]
+        if not near:
+            f += ["p3=" + low[:3], "s3=" + low[-3:], f"len{min(len(low), 12) // 3}"]
         if len(low) >= 4:
-            f += ["s4=" + low[-4:], "s5=" + low[-5:]]
-            if not near:
-                f += ["p3=" + low[:3], "p4=" + low[:4], "s3=" + low[-3:], f"{shape}s4={low[-4:]}", f"len{min(len(low), 12) // 3}"]
-        if low in TYPE_OF:
+            f += ["s4=" + low[-4:], "s6=" + low[-6:]]
+        if low in TYPE_OF and TYPE_OF[low] in HARD_TYPES:
             f.append("street type")
         if low in DIRECTION_OF:
             f.append("direction")
@@ -78,109 +101,151 @@ def cuts(line, stop, long, opens):
 
 
 class Tagger:
-    """Weights of the field and its decoder."""
-
-    #: A sentence is O throughout if every token that may be personal prefers O by more than this (log scale).
-    margin = -1.0
-
-    def __init__(self, index: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
-        self.index, self.weights, self.trans, self.start = index, weights, trans, start
+    """Weights of the field and its decoder. Emissions and transitions are kept relative to O."""
+
+    def __init__(self, index: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray, path: str = VOCABULARY):
+        self.index, self.weights, self.trans, self.start, self.path = index, weights, trans, start, path
+        self.begin()
+        # the most that a path can gain over O by entering, staying in and leaving a kind, from whatever label
+        t, first = trans - trans[0, 0], start - start[0]
+        kinds = range(1, len(LABELS), 2)
+        self.enter = np.array([max(t[:, k].max(), first[k]) for k in kinds])
+        self.stay = np.array([t[[k, k + 1], k + 1].max() for k in kinds])
+        self.leave = np.array([max(0.0, t[k, 0], t[k + 1, 0]) for k in kinds])
+
+    def begin(self) -> None:
         self.known: dict[str, int] = {}
         self.used = 0
         self.tables = np.zeros((len(OFFSETS), 4096, len(LABELS)), np.float32)
-        self.flags = np.zeros((4096, 5), bool)
+        self.tops = np.zeros((len(OFFSETS), 4096), np.float32)
+        self.flags = np.zeros((4096, 4), bool)
+        self.pad = self.number(PAD)
 
     def __getstate__(self):
-        return self.index, self.weights, self.trans, self.start
+        return self.index, self.weights, self.trans, self.start, self.path
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def number(self, tok: str) -> int:
         """A row number for the token; its emissions at each offset are summed once."""
-        w = tok.strip()
         key = token_key(tok)
         k = self.known.get(key)
         if k is None:
-            if self.used >= 300_000:  # bounded memory: begin anew
-                self.known.clear()
-                self.used = 0
             k = self.used
             self.used += 1
             if k == len(self.flags):
                 self.tables = np.concatenate([self.tables, np.zeros_like(self.tables)], axis=1)
+                self.tops = np.concatenate([self.tops, np.zeros_like(self.tops)], axis=1)
                 self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
-            near = own_features(key, True)
+            vocab = vocabulary(self.path)
+            near, own = own_features(key, True, vocab), own_features(key, False, vocab)
             for t, o in enumerate(OFFSETS):
-                ids = [i for f in (near if o else own_features(key, False)) if (i := self.index.get(f"{o}{f}")) is not None]
-                self.tables[t, k] = self.weights[ids].sum(axis=0) if ids else 0
-            e = self.tables[0, k]
-            named = w.isalpha() and max(e[LABELS.index("B-person_name")], e[LABELS.index("I-person_name")]) > e[0] - 1.0
-            maybe = bool(w) and (w.isdigit() or w in "@＠" or w.lower() in DIGIT_WORDS or w.lower() in ("at", "arroba") or named)
-            self.flags[k] = maybe, *boundary_flags(tok)
+                ids = [i for f in (near if o else own) if (i := self.index.get(f"{o}{f}")) is not None]
+                if ids:
+                    e = self.weights[ids].sum(axis=0)
+                    self.tables[t, k] = e - e[0]
+                self.tops[t, k] = self.tables[t, k, 1:].max()
+            self.flags[k] = boundary_flags(tok)
             self.known[key] = k
-        if key is not tok and len(self.known) < 600_000:
+        if key is not tok:
             self.known[tok] = k
         return k
 
     def spans(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) in characters, for each text; texts may be null or empty."""
-        out: list[list[tuple[int, int, str]]] = []
-        block, size = [], 0
-        for t in texts:  # blocks of bounded size
-            block.append(t or "")
-            size += len(block[-1])
-            if size > 2_000_000:
-                out += self._spans(block)
-                block, size = [], 0
-        return out + (self._spans(block) if block else [])
-
-    def _spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        result: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        block: list[tuple[int, int, str]] = []
+        size = 0
+        for d, t in enumerate(texts):  # blocks of bounded size
+            at, t = 0, t or ""
+            while at < len(t):
+                end = len(t)
+                if end - at > BLOCK:
+                    ends = (t.rfind(mark, at + BLOCK // 2, at + BLOCK) + len(mark) for mark in ("\n", ". ", " "))
+                    end = next((z for z in ends if z > at + BLOCK // 2), at + BLOCK)
+                block.append((d, at, t[at:end]))
+                size += end - at
+                at = end
+                if size > BLOCK:
+                    self._spans(block, texts, result)
+                    block, size = [], 0
+        if block:
+            self._spans(block, texts, result)
+        return [sorted(r) for r in result]
+
+    def _spans(self, block: list[tuple[int, int, str]], texts: Sequence[str | None], result: list[list[tuple[int, int, str]]]) -> None:
+        """Adds the spans of the pieces (text, offset, piece) of ``block`` to ``result``."""
+        if self.used > 200_000 or len(self.known) > 400_000:  # bounded memory: begin anew, between blocks only
+            self.begin()
         get, number = self.known.get, self.number
-        self.pad = number(PAD)
         ids: list[int] = [self.pad]
         chars: list[np.ndarray] = [np.zeros(1, np.int64)]
         doc: list[np.ndarray] = [np.full(1, -1)]
-        full = self.used
-        for d, t in enumerate(texts):
+        for d, off, t in block:
             toks = TOKEN.findall(t)
-            if not toks:
-                continue
             ids += [k if (k := get(x)) is not None else number(x) for x in toks]
             ids.append(self.pad)
             n = np.fromiter(map(len, toks), np.int64, len(toks))
-            chars += [np.cumsum(n) - n, np.zeros(1, np.int64)]
+            chars += [np.cumsum(n) - n + off, np.full(1, off + len(t))]
             doc += [np.full(len(toks), d), np.full(1, -1)]
-        if self.used < full:  # the table was begun anew on the way: number the block again
-            return self._spans(texts)
         x, at, own = np.array(ids), np.concatenate(chars), np.concatenate(doc)
         fl = self.flags[x]
         edge = np.append(own[1:] < 0, True)  # texts end, padding stands alone
-        starts = np.flatnonzero(np.concatenate([[True], (edge | cuts(fl[:, 1], fl[:, 2], fl[:, 3], fl[:, 4]))[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], (edge | cuts(fl[:, 0], fl[:, 1], fl[:, 2], fl[:, 3]))[:-1]]))
         stops = np.append(starts[1:], len(x))
-        # tokens that may be part of something, scored with their neighbours: their sentences are decoded
-        some = np.flatnonzero(fl[:, 0])
-        of = np.searchsorted(starts, some, side="right") - 1
-        e = self.tables[0][x[some]]
-        for t, o in enumerate(OFFSETS[1:], 1):
-            k = some + o
-            inside = (k >= starts[of]) & (k < stops[of])
-            e += self.tables[t][np.where(inside, x[np.clip(k, 0, len(x) - 1)], self.pad)]
-        keep = np.unique(of[e[:, 1:].max(axis=1) - e[:, 0] > self.margin])
+        keep = np.flatnonzero(self.may_hold(x, starts, stops))
         first, last = starts[keep], stops[keep]
-        result: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         size = last - first
         order = np.argsort(size, kind="stable")
         a = 0
         while a < len(order):
             top = size[order[a]]
             b = int(np.searchsorted(size[order], max(top + 4, int(top * 1.25)), side="right"))
-            b = min(b, a + 4000)
+            b = min(b, a + max(1, min(4000, 400_000 // max(1, int(top)))))
             rows = order[a:b]
             labels, mask, cell = self.viterbi(x, first[rows], size[rows])
             self.collect(labels, mask, cell, x, at, own, texts, result)
             a = b
-        return [sorted(r) for r in result]
+
+    def near_rows(self, x: np.ndarray, of: np.ndarray, o: int) -> np.ndarray:
+        """The token ``o`` places on, padding where that is another sentence (``of`` numbers the sentences)."""
+        out = np.full(len(x), self.pad, x.dtype)
+        a, b = (slice(None, -o), slice(o, None)) if o > 0 else (slice(-o, None), slice(None, o))
+        out[a] = np.where(of[a] == of[b], x[b], self.pad)
+        return out
+
+    def may_hold(self, x: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """For each sentence, False only if the best path is certainly O throughout.
+
+        A path gains over O the sum of its spans' gains, and a span of a kind gains at most its entry, its tokens' emissions
+        over O, its steps inside and its exit. Where no span of any kind can gain, no path can.
+        """
+        of = np.repeat(np.arange(len(starts)), stops - starts)
+        rows = {o: self.near_rows(x, of, o) for o in OFFSETS[1:]}
+        most = self.tops[0][x]
+        for t, o in enumerate(OFFSETS[1:], 1):
+            most += self.tops[t][rows[o]]
+        # a looser bound first: some token must gain by some label
+        some = np.maximum.reduceat(most, starts) + max(self.enter.max(), self.stay.max()) + self.leave.max() > 0
+        at = np.flatnonzero(some[of])
+        if not len(at):
+            return some
+        e = self.tables[0][x[at]]
+        for t, o in enumerate(OFFSETS[1:], 1):
+            e += self.tables[t][rows[o][at]]
+        sub = of[at]
+        heads = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]]))
+        gain = np.zeros(len(heads), bool)
+        for k in range(len(KINDS)):
+            inner = e[:, 2 + 2 * k].astype(np.float64) + self.stay[k]
+            inner[heads] = -1e4  # nothing goes on from the sentence before
+            run = np.cumsum(inner)
+            best = run + np.maximum.accumulate(e[:, 1 + 2 * k] + self.enter[k] - run)
+            gain |= np.maximum.reduceat(best, heads) + self.leave[k] > -1e-3
+        out = np.zeros(len(starts), bool)
+        out[sub[heads]] = gain
+        return out
 
     def viterbi(self, x: np.ndarray, first: np.ndarray, size: np.ndarray):
         n, most = len(first), int(size.max())
@@ -221,7 +286,7 @@ class Tagger:
             if d < 0 or int(own[z]) != d:
                 continue
             t = texts[d]
-            stop = int(at[z + 1]) if z + 1 < len(at) and own[z + 1] == d else len(t)
+            stop = int(at[z + 1])
             stop = int(at[a]) + len(t[int(at[a]) : stop].rstrip())
             s = settle(t, int(at[a]), stop, KINDS[(k - 1) // 2])
             if s and not (result[d] and s[0] < result[d][-1][1] and s[1] > result[d][-1][0]):
@@ -300,41 +365,41 @@ def encode(rows: list[tuple[str, list[tuple[int, int, str]]]]) -> tuple[list[lis
 
 
 @lru_cache(maxsize=1)
-def train(rows: int = 3000, iterations: int = 45, l2: float = 0.2) -> Tagger:
-    """Fit the field on the labelled table by L-BFGS; takes a few seconds and the same path each time."""
+def train(rows: int = 12000, iterations: int = 110, l2: float = 0.15, path: str = VOCABULARY) -> Tagger:
+    """Fit the field on the labelled table by L-BFGS; takes some seconds and the same path each time."""
     toks, labels = encode(labelled(rows))
-    seqs = [[PAD, PAD, *t, PAD, PAD] for t in toks]
+    vocab = vocabulary(path)
+    kinds: dict[str, int] = {PAD: 0}
+    flat = [kinds.setdefault(token_key(x), len(kinds)) for s in toks for x in [PAD, PAD, *s, PAD, PAD]]
+    padded = np.array(flat)
+    inside = np.concatenate([np.concatenate([[False] * 2, np.ones(len(s), bool), [False] * 2]) for s in toks])
+    where = np.flatnonzero(inside)
+    n = len(where)
+    place = {o: padded[where + o] for o in OFFSETS}
+    seen = np.bincount(place[0], minlength=len(kinds))
+    # features of each distinct token; those that occur once say nothing
+    of = {near: [own_features(k, near, vocab) for k in kinds] for near in (False, True)}
     index: dict[str, int] = {}
-    cache: dict[tuple[str, bool], list[str]] = {}
-    pairs_tok, pairs_feat = [], []
-    n = 0
-    for s in seqs:
-        for i in range(2, len(s) - 2):
-            for o in OFFSETS:
-                key = token_key(s[i + o])
-                fs = cache.get((key, o != 0))
-                if fs is None:
-                    fs = cache[key, o != 0] = own_features(key, o != 0)
-                for f in fs:
-                    pairs_tok.append(n)
-                    pairs_feat.append(index.setdefault(f"{o}{f}", len(index)))
-            n += 1
+    pair_kind, pair_feat = {}, {}
+    for o in OFFSETS:
+        often: dict[str, int] = {}
+        for k, fs in enumerate(of[o != 0]):
+            for f in fs:
+                often[f] = often.get(f, 0) + int(seen[k])
+        ps = [(k, index.setdefault(f"{o}{f}", len(index))) for k, fs in enumerate(of[o != 0]) for f in fs if often[f] > 1 or k == 0]
+        pair_kind[o], pair_feat[o] = (np.array(c) for c in zip(*ps))
     L = len(LABELS)
-    tok, feat = np.array(pairs_tok), np.array(pairs_feat)
-    by_tok = np.searchsorted(tok, np.arange(n))
-    order = np.argsort(feat, kind="stable")
-    tok_of, by_feat = tok[order], np.searchsorted(feat[order], np.arange(len(index)))
+    y = np.array([v for ys in labels for v in ys])
     size = np.array([len(t) for t in toks])
     first = np.cumsum(size) - size
-    most = int(size.max())
-    cell = np.minimum(first[:, None] + np.arange(most), n - 1)
-    mask = np.arange(most) < size[:, None]
-    y = np.array([v for ys in labels for v in ys])
+    order = np.argsort(-size, kind="stable")  # longest first: at step k the first active[k] sentences go on
+    size, first = size[order], first[order]
+    active = [int(np.searchsorted(-size, -k, side="left")) for k in range(int(size[0]))]
     gold = np.zeros((n, L))
     gold[np.arange(n), y] = 1
-    inner = mask[:, 1:]
     gold_trans = np.zeros((L, L))
-    np.add.at(gold_trans, (y[cell[:, :-1]][inner], y[cell[:, 1:]][inner]), 1)
+    for k, m in enumerate(active[1:], 1):
+        np.add.at(gold_trans, (y[first[:m] + k - 1], y[first[:m] + k]), 1)
     gold_start = np.bincount(y[first], minlength=L).astype(float)
     banned = np.zeros((L, L), bool)  # I follows only its own B or I
     for k in range(len(KINDS)):
@@ -345,48 +410,53 @@ def train(rows: int = 3000, iterations: int = 45, l2: float = 0.2) -> Tagger:
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         w, trans, start = theta[:nw].reshape(-1, L), np.where(banned, -30.0, theta[nw : nw + L * L].reshape(L, L)), np.where(banned_start, -30.0, theta[nw + L * L :])
-        e = np.add.reduceat(w[feat], by_tok, axis=0)
-        E = e[cell]
-        alpha = np.empty((most, len(size), L))
-        scale = np.empty((most, len(size)))
+        e = np.zeros((n, L))
+        for o in OFFSETS:
+            table = np.zeros((len(kinds), L))
+            for j in range(L):
+                table[:, j] = np.bincount(pair_kind[o], w[pair_feat[o], j], len(kinds))
+            e += table[place[o]]
         T = np.exp(trans)
-        a = E[:, 0] + start
-        m = a.max(axis=1)
-        p = np.exp(a - m[:, None])
-        s = p.sum(axis=1)
-        alpha[0], scale[0] = p / s[:, None], np.log(s) + m
-        for k in range(1, most):
-            m = E[:, k].max(axis=1)
-            p = (alpha[k - 1] @ T) * np.exp(E[:, k] - m[:, None])
-            s = p.sum(axis=1)
-            on = mask[:, k]
-            alpha[k] = np.where(on[:, None], p / s[:, None], alpha[k - 1])
-            scale[k] = np.where(on, np.log(s) + m, 0.0)
-        logz = scale.sum()
+        p = e[first] + start
+        top = p.max(axis=1)
+        p = np.exp(p - top[:, None])
+        total = p.sum(axis=1)
+        alpha, logz = [p / total[:, None]], np.log(total).sum() + top.sum()
+        for k, m in enumerate(active[1:], 1):
+            ek = e[first[:m] + k]
+            top = ek.max(axis=1)
+            p = (alpha[-1][:m] @ T) * np.exp(ek - top[:, None])
+            total = p.sum(axis=1)
+            alpha.append(p / total[:, None])
+            logz += np.log(total).sum() + top.sum()
         beta = np.ones((len(size), L))
         post = np.zeros((n, L))
         exp_trans = np.zeros((L, L))
-        for k in range(most - 1, -1, -1):
-            g = alpha[k] * beta
+        for k in range(len(active) - 1, -1, -1):
+            m = active[k]
+            g = alpha[k] * beta[:m]
             g /= g.sum(axis=1, keepdims=True)
-            on = mask[:, k]
-            post[cell[on, k]] = g[on]
+            post[first[:m] + k] = g
             if k == 0:
                 exp_start = g.sum(axis=0)
                 break
-            b = np.exp(E[:, k] - E[:, k].max(axis=1, keepdims=True)) * beta
-            pair_norm = np.einsum("ni,ij,nj->n", alpha[k - 1], T, b)
-            r = np.where(on, 1 / np.maximum(pair_norm, 1e-300), 0.0)
-            exp_trans += T * ((alpha[k - 1] * r[:, None]).T @ b)
+            ek = e[first[:m] + k]
+            b = np.exp(ek - ek.max(axis=1, keepdims=True)) * beta[:m]
+            before = alpha[k - 1][:m]
+            r = 1 / np.maximum(((before @ T) * b).sum(axis=1), 1e-300)
+            exp_trans += T * ((before * r[:, None]).T @ b)
             nb = b @ T.T
-            beta = np.where(on[:, None], nb / nb.max(axis=1, keepdims=True), beta)
+            beta[:m] = nb / nb.max(axis=1, keepdims=True)
         score = (e * gold).sum() + (trans * gold_trans).sum() + (start * gold_start).sum()
-        grad_w = np.add.reduceat((post - gold)[tok_of], by_feat, axis=0)
+        grad_w, off = np.zeros_like(w), post - gold
+        for o in OFFSETS:
+            for j in range(L):
+                grad_w[:, j] += np.bincount(pair_feat[o], np.bincount(place[o], off[:, j], len(kinds))[pair_kind[o]], len(index))
         grad = np.concatenate([grad_w.ravel(), np.where(banned, 0, exp_trans - gold_trans).ravel(), np.where(banned_start, 0, exp_start - gold_start)])
         return logz - score + 0.5 * l2 * (theta @ theta), grad + l2 * theta
 
     theta = lbfgs(loss, np.zeros(nw + L * L + L), iterations)
-    return Tagger(index, theta[:nw].reshape(-1, L).astype(np.float32), np.where(banned, -1e4, theta[nw : nw + L * L].reshape(L, L)), np.where(banned_start, -1e4, theta[nw + L * L :]))
+    return Tagger(index, theta[:nw].reshape(-1, L).astype(np.float32), np.where(banned, -1e4, theta[nw : nw + L * L].reshape(L, L)), np.where(banned_start, -1e4, theta[nw + L * L :]), path)
 
 
 def lbfgs(f, x: np.ndarray, iterations: int, memory: int = 7) -> np.ndarray:
