@@ -9,13 +9,13 @@ the longest chain. The state is written to the shared folder each round, which c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from placeloom.session import discard, materialize
+from placeloom.session import broadcast_if_small, discard, materialize
 
 
-def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) -> DataFrame:
+def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = 100, heavy_rows: int = 200_000) -> DataFrame:
     """One row (id, group_id) for each id on either side of ``pairs``.
 
     ``group_id`` is the smallest id that is linked to ``id`` directly or through others.
@@ -29,14 +29,22 @@ def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = 100)
     both = sides.select(F.coalesce("_a", "_b").alias("_a"), F.coalesce("_b", "_a").alias("_b")).where("_a IS NOT NULL")
     links = both.select(F.explode(F.array(F.struct(F.col("_a").alias("v"), F.col("_b").alias("u")), F.struct(F.col("_b").alias("v"), F.col("_a").alias("u")), F.struct(F.col("_a").alias("v"), F.col("_a").alias("u")), F.struct(F.col("_b").alias("v"), F.col("_b").alias("u")))).alias("e"))
     state, path = materialize(links.select("e.v", "e.u").distinct(), "hash-to-min")
-    for _ in range(max_rounds):
-        least = state.groupBy("v").agg(F.min("u").alias("m"))
-        sent = state.join(least, "v")
-        moved = sent.where("v <> m AND u <> m").limit(1).count()
-        if not moved:
-            return state.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("group_id"))
+    if state.isEmpty():
+        return state.select(F.col("v").alias("id"), F.col("u").alias("group_id"))
+    for turn in range(max_rounds):
+        least = state.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        # vertices with huge sets (at most rows / heavy_rows of them) are joined where their rows lie, not in one task
+        heavy = broadcast_if_small(least.where(F.col("n") > heavy_rows).select("v", "m"))
+        sent = state.join(heavy, "v").unionByName(state.join(heavy, "v", "left_anti").join(least.where(F.col("n") <= heavy_rows).select("v", "m"), "v"))
+        # counted while the messages are made and written, so that each round is one evaluation
+        watch = Observation(f"round {turn}")
+        sent = sent.observe(watch, F.coalesce(F.sum(F.when((F.col("v") != F.col("m")) & (F.col("u") != F.col("m")), 1).otherwise(0)), F.lit(0)).alias("moved"))
         messages = F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
+        # equal messages are dropped where they are made, before they are sent
         after, new_path = materialize(sent.select(F.explode(messages).alias("e")).select("e.v", "e.u").distinct(), "hash-to-min")
+        if not watch.get["moved"]:
+            discard(spark, new_path)
+            return state.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("group_id"))
         discard(spark, path)
         state, path = after, new_path
     raise RuntimeError(f"not stable after {max_rounds} rounds")

@@ -2,12 +2,14 @@
 
 Lengths are whole numbers up to the capacity, so everything a packing needs to know about a
 corpus of any size is one count per length. The packing itself runs on that histogram (never
-more than ``capacity`` rows): lengths are routed to tiers (capacity, 1/2, 1/4, ...), each tier
-fills the gaps of the longer tiers' containers by best fit and opens containers for the rest.
+more than ``capacity`` rows), hierarchically: lengths are routed to tiers of windows (capacity, 1/2, 1/4, ...), each tier is
+packed into windows of its own size after its documents have filled the gaps of longer windows, and windows of shorter
+tiers are put together two by two until they make containers. A text thus never crosses the border of its
+window, and a container may also be read as windows of a shorter context.
 What comes out is a table of slots, each saying "documents of this length with ranks s..t go to
 containers b, b+1, ..."; every document then finds its slot by its rank among those of its
-length. Ranks come from counts per (length, hash bucket), so a length that a third of all
-documents share is ranked by many tasks.
+length. Ranks come from counts per (length, hash bucket), with more buckets for a length the more documents have it, so
+a length that a third of all documents share is ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -48,69 +50,91 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     return count(text)
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, tiers: int = 4) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of containers, lengths in each) that hold exactly ``counts`` items.
+Runs = tuple[tuple[int, int, int], ...]
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, tiers: int = 4) -> list[tuple[int, Runs]]:
+    """(number of containers, runs of (length, copies, offset) in each) that hold exactly ``counts`` items.
 
     Containers that look alike are one pattern, so the work depends on the number of distinct
-    lengths and not on the number of items.
+    lengths and not on the number of items; each length adds at most three patterns.
     """
-    gaps: dict[int, list[list]] = {}  # free room -> [containers, lengths]
+    gaps: dict[int, list[tuple[int, int, Runs]]] = {}  # free room -> (windows, size, runs)
     rooms: list[int] = []
 
-    def put(room: int, n: int, lens: tuple[int, ...]) -> None:
+    def put(room: int, n: int, size: int, runs: Runs) -> None:
         if not gaps.get(room):
             gaps[room] = []
             insort(rooms, room)
-        gaps[room].append([n, lens])
+        gaps[room].append((n, size, runs))
 
     def fill(length: int, n: int) -> int:
         """Best fit: the tightest gaps first, as many copies as fit."""
         while n and rooms and rooms[-1] >= length:
             room = rooms[bisect_left(rooms, length)]
-            have, lens = gaps[room].pop()
+            have, size, runs = gaps[room].pop()
             if not gaps[room]:
                 rooms.remove(room)
             copies = min(room // length, n)
             used = min(have, n // copies)
             if have > used:
-                put(room, have - used, lens)
-            put(room - copies * length, used, lens + (length,) * copies)
+                put(room, have - used, size, runs)
+            put(room - copies * length, used, size, (*runs, (length, copies, size - room)))
             n -= used * copies
         return n
 
-    edges = [capacity >> t for t in range(tiers)] + [0]
-    for high, low in zip(edges, edges[1:]):
-        for length in sorted((x for x in counts if low < x <= high), reverse=True):
+    sizes = [capacity >> t for t in range(max(1, tiers)) if capacity >> t]
+    for size, low in zip(sizes, [*sizes[1:], 0]):
+        for length in sorted((x for x in counts if low < x <= size), reverse=True):
             left = fill(length, counts[length])
-            if left:
-                each = capacity // length
-                if left // each:
-                    put(capacity - each * length, left // each, (length,) * each)
-                if left % each:
-                    put(capacity - left % each * length, 1, (length,) * (left % each))
-    return [(n, lens) for room in rooms for n, lens in gaps[room] if n]
-
-
-def slots_of(patterns: list[tuple[int, tuple[int, ...]]], capacity: int) -> pd.DataFrame:
-    """One row per slot: length, first rank, first container, stride, place in the container.
+            each = size // length
+            if left // each:
+                put(size - each * length, left // each, size, ((length, each, 0),))
+            if left % each:
+                put(size - left % each * length, 1, size, ((length, left % each, 0),))
+    windows: dict[int, list[tuple[int, Runs]]] = {x: [] for x in sizes}
+    for room in rooms:
+        for n, size, runs in gaps[room]:
+            windows[size].append((n, runs))
+    for size, twice in zip(sizes[:0:-1], sizes[-2::-1]):
+        one: Runs | None = None
+        shifted = lambda runs: tuple((k, c, at + size) for k, c, at in runs)  # noqa: E731, B023
+        for n, runs in sorted(windows[size], key=lambda w: (w[1], w[0])):
+            if one is not None:
+                windows[twice].append((1, one + shifted(runs)))
+                n, one = n - 1, None
+            if n // 2:
+                windows[twice].append((n // 2, runs + shifted(runs)))
+            if n % 2:
+                one = runs
+        if one is not None:
+            windows[twice].append((1, one))
+    return windows[capacity]
+
+
+def slots_of(patterns: list[tuple[int, Runs]]) -> pd.DataFrame:
+    """One row per slot: length, first rank, containers, copies in each, first container, place in the container.
 
     Costly containers (sum of squared lengths, the price of attention) come first, so numbering
     them off in a snake over step groups gives groups of like cost.
     """
-    patterns = sorted(patterns, key=lambda p: (-sum(x * x for x in p[1]), p[1]))
+    patterns = sorted(patterns, key=lambda p: (-sum(c * x * x for x, c, _ in p[1]), p[1]))
     rank: dict[int, int] = {}
     out, first = [], 0
-    for n, lens in patterns:
-        at = 0
-        for k in lens:
-            out.append((k, rank.get(k, 0), n, first, at))
-            rank[k] = rank.get(k, 0) + n
-            at += k
+    for n, runs in patterns:
+        for k, copies, at in runs:
+            out.append((k, rank.get(k, 0), n, copies, first, at))
+            rank[k] = rank.get(k, 0) + n * copies
         first += n
-    return pd.DataFrame(out, columns=["length", "first_rank", "n", "first_container", "at"]).astype("int64")
+    return pd.DataFrame(out, columns=["length", "first_rank", "n", "copies", "first_container", "at"]).astype("int64")
 
 
-def pack(docs: DataFrame, doc_id: str, text: str, capacity: int = 2048, tiers: int = 4, step_size: int = 64, tokenizer: str = TOKENIZER, buckets: int = 64) -> DataFrame:
+def sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """A stored table (doc_id, _len): the tokens of each row's whole text."""
+    return materialize(docs.select(F.col(doc_id).alias("doc_id"), token_count(F.col(text), tokenizer).alias("_len")), "sizes")[0]
+
+
+def pack(docs: DataFrame, doc_id: str, text: str, capacity: int = 2048, tiers: int = 4, step_size: int = 64, tokenizer: str = TOKENIZER, bucket_rows: int = 250_000) -> DataFrame:
     """(doc_id, part, n_tokens, container_id, token_offset, step_group): one row per piece.
 
     A text within the capacity is one piece (part 0). A longer one is cut into pieces of exactly
@@ -119,31 +143,39 @@ def pack(docs: DataFrame, doc_id: str, text: str, capacity: int = 2048, tiers: i
     repeat an id are packed each for itself. ``step_group`` numbers groups of about ``step_size``
     containers of like total cost. An empty table gives no rows.
     """
-    sized, _ = materialize(docs.select(F.col(doc_id).alias("doc_id"), token_count(F.col(text), tokenizer).alias("_len")), "sizes")
+    return packed(sizes(docs, doc_id, text, tokenizer), capacity, tiers, step_size, bucket_rows)
+
+
+def packed(sized: DataFrame, capacity: int = 2048, tiers: int = 4, step_size: int = 64, bucket_rows: int = 250_000) -> DataFrame:
+    """:func:`pack` from the table of :func:`sizes`."""
     whole = F.floor(F.col("_len") / capacity)
     pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_len") / capacity).cast("int") - 1))
     items = sized.select("doc_id", F.explode(pieces).alias("part"), "_len").select(
-        "doc_id", "part", F.when(F.col("part") < whole, F.lit(capacity)).otherwise(F.col("_len") - F.col("part") * capacity).cast("long").alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)).alias("_bucket"))
+        "doc_id", "part", F.when(F.col("part") < whole, F.lit(capacity)).otherwise(F.col("_len") - F.col("part") * capacity).cast("long").alias("n_tokens"))
     full = items.where("n_tokens > 0")
-    counts = full.groupBy("n_tokens", "_bucket").count().toPandas()  # at most capacity x buckets rows, whatever the corpus
-    counts = counts.sort_values(["n_tokens", "_bucket"])
-    before = counts.groupby("n_tokens")["count"].cumsum() - counts["count"]
-    base = {(int(a), int(b)): int(c) for a, b, c in zip(counts["n_tokens"], counts["_bucket"], before)}
-    slots = slots_of(pack_histogram({int(k): int(v) for k, v in counts.groupby("n_tokens")["count"].sum().items()}, capacity, tiers), capacity).sort_values(["length", "first_rank"])
+    # at most ``capacity`` rows; then one more for every ``bucket_rows`` pieces
+    counts = full.groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
+    spread = pd.DataFrame({"n_tokens": counts["n_tokens"].astype("int64"), "_many": (counts["count"] // bucket_rows + 1).astype("int64")})
+    many = sized.sparkSession.createDataFrame(spread, "n_tokens long, _many long")
+    full = full.join(F.broadcast(many), "n_tokens").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "part"), F.col("_many"))).drop("_many")
+    each = full.groupBy("n_tokens", "_bucket").count().toPandas().sort_values(["n_tokens", "_bucket"])
+    before = each.groupby("n_tokens")["count"].cumsum() - each["count"]
+    base = {(int(a), int(b)): int(c) for a, b, c in zip(each["n_tokens"], each["_bucket"], before)}
+    slots = slots_of(pack_histogram({int(k): int(v) for k, v in zip(counts["n_tokens"], counts["count"])}, capacity, tiers)).sort_values(["length", "first_rank"])
     made = int((slots.first_container + slots.n).max()) if len(slots) else 0
     groups = max(1, -(-made // step_size))
     wide = np.int64(1) << 42
     keys = slots.length.to_numpy() * wide + slots.first_rank.to_numpy()
-    container0, offset0, rank0 = slots.first_container.to_numpy(), slots["at"].to_numpy(), slots.first_rank.to_numpy()
+    length0, container0, offset0, rank0, copies0 = (slots[c].to_numpy() for c in ("length", "first_container", "at", "first_rank", "copies"))
 
     @F.pandas_udf("container_id long, token_offset long, step_group long")
     def place(length: pd.Series, bucket: pd.Series, within: pd.Series) -> pd.DataFrame:
         rank = np.fromiter((base[x] for x in zip(length, bucket)), np.int64, len(length)) + within.to_numpy(np.int64)
         k = np.searchsorted(keys, length.to_numpy(np.int64) * wide + rank, side="right") - 1
-        container = container0[k] + rank - rank0[k]
+        turn, copy = np.divmod(rank - rank0[k], copies0[k])
+        container = container0[k] + turn
         lap, step = np.divmod(container, groups)
-        return pd.DataFrame({"container_id": container, "token_offset": offset0[k], "step_group": np.where(lap % 2, groups - 1 - step, step)})
+        return pd.DataFrame({"container_id": container, "token_offset": offset0[k] + copy * length0[k], "step_group": np.where(lap % 2, groups - 1 - step, step)})
 
     ranked = full.withColumn("_within", F.row_number().over(Window.partitionBy("n_tokens", "_bucket").orderBy("doc_id", "part")) - 1)
     placed = ranked.withColumn("_p", place("n_tokens", "_bucket", "_within")).select("doc_id", "part", "n_tokens", "_p.container_id", "_p.token_offset", "_p.step_group")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placeloom.llm import addresses, components, entity_match, leakage, packing, pii, survivorship, topn
 from placeloom.session import materialize, table
@@ -53,6 +54,18 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Room used by the tiers and, for comparison, by one tier: best-fit decreasing over all lengths."""
+    sized = packing.sizes(table(spark, d, "documents"), "doc_id", "text")
+    one = lambda n: packing.packing_report(packing.packed(sized, tiers=n)).select(F.lit(n).alias("tiers"), "*")
+    return one(4).unionByName(one(1))
+
+
+def p6_heavy(spark: SparkSession, d: str) -> DataFrame:
+    """p6_found with a threshold so low that the common groups take the branch of heavy ones."""
+    return topn.top_venues(table(spark, d, "restaurants"), table(spark, d, "cuisine_restaurant"), table(spark, d, "cuisines"), heavy_rows=20).select("city", "slug", "restaurant_id")
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -70,7 +83,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_locations": p2_locations, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p6_heavy": p6_heavy, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 P3_SQL = """
@@ -111,4 +124,4 @@ SELECT city, slug, id AS restaurant_id FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
+    return {"p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_heavy": P6_SQL}

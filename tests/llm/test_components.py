@@ -36,3 +36,12 @@ def test_random_chains_stars_and_dirt(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_one_giant_component_and_heavy_vertices(spark):
+    rng = random.Random(9)
+    pairs = [(i, rng.randrange(max(0, i - 3), i)) for i in range(1, 4000)] + [(0, 10_000 + i) for i in range(3000)] + [(50_000, 50_001)]
+    df = spark.createDataFrame(pairs, "id_a long, id_b long")
+    want = brute(pairs)
+    assert {r.id: r.group_id for r in hash_to_min(df, "id_a", "id_b", heavy_rows=500).collect()} == want
+    assert set(want.values()) == {0, 50_000}
