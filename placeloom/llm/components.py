@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from placeloom.session import broadcast_if_small, discard, materialize
+from placeloom.session import discard, materialize
 
 
-def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = 100, heavy_rows: int = 200_000) -> DataFrame:
+def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) -> DataFrame:
     """One row (id, group_id) for each id on either side of ``pairs``.
 
     ``group_id`` is the smallest id that is linked to ``id`` directly or through others.
@@ -32,10 +32,9 @@ def hash_to_min(pairs: DataFrame, left: str, right: str, max_rounds: int = 100,
     if state.isEmpty():
         return state.select(F.col("v").alias("id"), F.col("u").alias("group_id"))
     for turn in range(max_rounds):
-        least = state.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        # vertices with huge sets (at most rows / heavy_rows of them) are joined where their rows lie, not in one task
-        heavy = broadcast_if_small(least.where(F.col("n") > heavy_rows).select("v", "m"))
-        sent = state.join(heavy, "v").unionByName(state.join(heavy, "v", "left_anti").join(least.where(F.col("n") <= heavy_rows).select("v", "m"), "v"))
+        least = state.groupBy("v").agg(F.min("u").alias("m"))
+        # the set of a component's smallest vertex may be a third of all rows: adaptive plans split it over tasks
+        sent = state.join(least, "v")
         # counted while the messages are made and written, so that each round is one evaluation
         watch = Observation(f"round {turn}")
         sent = sent.observe(watch, F.coalesce(F.sum(F.when((F.col("v") != F.col("m")) & (F.col("u") != F.col("m")), 1).otherwise(0)), F.lit(0)).alias("moved"))
