@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from placeloom.functions import geo, text
 from placeloom.operators import scoring
 from placeloom.plans.relational_queries import FIELDS, has
+from placeloom.plans.scalar_queries import _ROWS
 from placeloom.plans.venue_queries import P10, _ST, km_sql
 from placeloom.session import broadcast_if_small, table
 

@@ -51,8 +51,13 @@ def x06(spark, d):
     return r.groupBy(F.left("p", F.lit(3)).alias("area_code")).agg(F.count("*").alias("n"), F.countDistinct("state").alias("states"))
 
 
-_CASE = " ".join(f"WHEN lower(trim(state)) = '{n}' THEN '{c}'" for n, c in text.STATES.items())
-_CODES = ", ".join(f"'{c}'" for c in text.STATES.values())
+# written out for the SQL side, apart from the engine's own table
+STATE_ROWS = """AL alabama,AK alaska,AZ arizona,AR arkansas,CA california,CO colorado,CT connecticut,DE delaware,DC district of columbia,FL florida,GA georgia,GU guam,HI hawaii,ID idaho,IL illinois,IN indiana,IA iowa,KS kansas,KY kentucky,LA louisiana,ME maine,MD maryland,MA massachusetts,
+MI michigan,MN minnesota,MS mississippi,MO missouri,MT montana,NE nebraska,NV nevada,NH new hampshire,NJ new jersey,NM new mexico,NY new york,NC north carolina,ND north dakota,OH ohio,OK oklahoma,OR oregon,PA pennsylvania,RI rhode island,SC south carolina,SD south dakota,TN tennessee,TX texas,UT utah,VT vermont,VA virginia,
+WA washington,WV west virginia,WI wisconsin,WY wyoming"""
+_ROWS = [x.strip().split(" ", 1) for x in STATE_ROWS.replace("\n", "").split(",")]
+_CASE = " ".join(f"WHEN lower(trim(state)) = '{n}' THEN '{c}'" for c, n in _ROWS)
+_CODES = ", ".join(f"'{c}'" for c, _ in _ROWS)
 
 
 @query("x07_state_code", f"SELECT id, CASE WHEN upper(trim(state)) IN ({_CODES}) THEN upper(trim(state)) {_CASE} END AS state_code FROM restaurants")
@@ -60,31 +65,45 @@ def x07(spark, d):
     return table(spark, d, "restaurants").select("id", text.state_code(C("state")).alias("state_code"))
 
 
-_TAIL = r"rtrim(regexp_replace(trim(coalesce(address, ''), ' '), '(,\s*|\s+)(USA|US|United States)\.?$', '', 'i'), ' ')"
+@query("x07_all_states", f"SELECT code, length(code) AS n, code AS again FROM (SELECT DISTINCT unnest([{_CODES}]) AS code)")
+def x07all(spark, d):
+    """Every code from its name and from itself."""
+    names = spark.createDataFrame([(k.title(),) for k in text.STATES], "name string")
+    code = text.state_code(C("name"))
+    return names.select(code.alias("code"), F.length(code).cast("long").alias("n"), text.state_code(F.lower(code)).alias("again"))
 
 
-@query("x08_zip_of_address", rf"""
-WITH a AS (SELECT id, postal_code, regexp_replace({_TAIL}, ',+$', '') AS s FROM restaurants),
-p AS (SELECT *, string_split(s, ',') AS parts FROM a)
-SELECT id, CASE
-  WHEN NOT (len(parts) = 2 AND regexp_matches(trim(parts[2], ' '), '^\d{{5}}(-\d{{4}})?$') AND NOT regexp_matches(trim(parts[1], ' '), '^\d'))
-       AND regexp_extract(s, '(\d{{5}})(-\d{{4}})?$', 1) <> '' THEN regexp_extract(s, '(\d{{5}})(-\d{{4}})?$', 1)
-  WHEN regexp_extract(trim(coalesce(postal_code, ''), ' '), '^(\d{{5}})(-\d{{4}})?$', 1) <> '' THEN regexp_extract(trim(coalesce(postal_code, ''), ' '), '^(\d{{5}})(-\d{{4}})?$', 1) END AS zip
-FROM p""")
+ADDRESS_SQL = r"""
+a AS (SELECT id, postal_code, list_filter(list_transform(string_split(coalesce(address, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS p0 FROM restaurants),
+b AS (SELECT *, CASE WHEN upper(replace(p0[-1], '.', '')) IN ('US', 'USA', 'UNITED STATES') THEN p0[:-2] ELSE p0 END AS p1 FROM a),
+c AS (SELECT *, CASE WHEN len(p1) > 0 AND regexp_matches(p1[-1], '\s(US|USA)\.?$', 'i') THEN list_concat(p1[:-2], [regexp_replace(p1[-1], '\s+(US|USA)\.?$', '', 'i')]) ELSE p1 END AS p FROM b),
+w AS (SELECT id, postal_code, p, len(p) AS n, CASE WHEN len(p) > 0 THEN regexp_split_to_array(p[-1], '\s+') ELSE [] END AS w FROM c)
+"""
+
+
+@query("x08_zip_of_address", f"""
+WITH {ADDRESS_SQL}
+SELECT id, CASE WHEN regexp_matches(w[-1], '^\\d{{5}}(-\\d{{4}})?$') AND NOT (n = 2 AND len(w) = 1 AND NOT regexp_matches(p[1], '^\\d')) THEN left(w[-1], 5)
+  WHEN regexp_matches(trim(postal_code, ' '), '^\\d{{5}}(-\\d{{4}})?$') THEN left(trim(postal_code, ' '), 5) END AS zip FROM w""")
 def x08(spark, d):
     return table(spark, d, "restaurants").select("id", text.zip_of(C("address"), C("postal_code")).alias("zip"))
 
 
-@query("x09_city_of_address", rf"""
-WITH a AS (SELECT id, list_filter(list_transform(string_split({_TAIL}, ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM restaurants),
-p AS (SELECT id, len(parts) AS n, parts[-1] AS l, CASE WHEN len(parts) >= 2 THEN parts[-2] END AS b FROM a),
-q AS (SELECT *, regexp_extract(l, '^([A-Z]{{2}})(\s+\d{{5}}(-\d{{4}})?)?$', 1) AS code FROM p),
-r AS (SELECT *, coalesce(n >= 2 AND code <> '' AND (regexp_matches(l, '^[A-Z]{{2}}\s+\d{{5}}(-\d{{4}})?$') OR (n >= 3 AND code IN ({_CODES}))), false) AS by_state, coalesce(n >= 3 AND regexp_matches(l, '^\d{{5}}(-\d{{4}})?$'), false) AS by_zip, coalesce(regexp_matches(b, '^[A-Za-z][A-Za-z .''\-]+$'), false) AS good FROM q)
-SELECT id, CASE WHEN (by_state OR by_zip) AND good THEN b END AS city, CASE WHEN by_state AND good AND code IN ({_CODES}) THEN code END AS state FROM r""")
+@query("x09_city_of_address", f"""
+WITH {ADDRESS_SQL},
+q AS (SELECT *, coalesce(regexp_matches(w[1], '^[A-Z][A-Z]$'), false) AS two FROM w),
+r AS (SELECT *, two AND ((len(w) = 2 AND regexp_matches(w[2], '^\\d{{5}}(-\\d{{4}})?$') AND n >= 2) OR (len(w) = 1 AND n >= 3 AND w[1] IN ({_CODES}))) AS by_state, len(w) = 1 AND n >= 3 AND regexp_matches(w[1], '^\\d{{5}}(-\\d{{4}})?$') AS by_zip, n = 3 AND regexp_matches(p[2], '^\\d+$') AS by_number FROM q),
+s AS (SELECT *, CASE WHEN by_state OR by_zip THEN p[-2] WHEN by_number THEN p[-1] END AS city FROM r)
+SELECT id, CASE WHEN regexp_matches(city, '^[A-Za-z][A-Za-z .''-]+$') THEN city END AS city, CASE WHEN regexp_matches(city, '^[A-Za-z][A-Za-z .''-]+$') AND by_state AND w[1] IN ({_CODES}) THEN w[1] END AS state FROM s""")
 def x09(spark, d):
     return table(spark, d, "restaurants").select("id", text.city_state_of(C("address")).alias("c")).select("id", "c.city", "c.state")
 
 
+@query("x18_title_cased", r"SELECT DISTINCT city, CASE WHEN trim(coalesce(city, ''), ' ') <> '' THEN array_to_string(list_transform(string_split(lower(trim(regexp_replace(city, '\s+', ' ', 'g'), ' ')), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('of', 'the', 'and', 'at', 'in', 'on', 'de', 'la', 'del') THEN w ELSE upper(w[1]) || w[2:] END), ' ') END AS title FROM restaurants")
+def x18t(spark, d):
+    return table(spark, d, "restaurants").select("city").distinct().select("city", text.title_case(C("city")).alias("title"))
+
+
 @query("x10_place_key", r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(name)), '\bsaint\b', 'st', 'g'), '\bmount\b', 'mt', 'g'), '\bfort\b', 'ft', 'g'), '[^a-z0-9]+', ' ', 'g'), ' ') AS place_key FROM restaurants")
 def x10(spark, d):
     return table(spark, d, "restaurants").select("id", text.place_key(C("name")).alias("place_key"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from placeloom.functions import geo, text
 from placeloom.operators import matching, quality, relevance, scoring
 from placeloom.plans.relational_queries import AS_OF, tagged_venues
+from placeloom.plans.scalar_queries import _CODES, _ROWS, ADDRESS_SQL
 from placeloom.session import materialize, table
 
 C = F.col
@@ -234,7 +235,7 @@ def d04(spark, d):
     return quality.copied_ratings(table(spark, d, "restaurants"))
 
 
-_ST = f"CASE WHEN upper(trim(state, ' ')) IN ({', '.join(repr(c) for c in text.STATES.values())}) THEN upper(trim(state, ' ')) {' '.join(f'''WHEN lower(trim(state, ' ')) = '{n}' THEN '{c}' ''' for n, c in text.STATES.items())} END"
+_ST = "CASE WHEN upper(trim(state, ' ')) IN (" + ", ".join(f"'{c}'" for c, _ in _ROWS) + ") THEN upper(trim(state, ' ')) " + " ".join(f"WHEN lower(trim(state, ' ')) = '{n}' THEN '{c}'" for c, n in _ROWS) + " END"
 
 
 @query("d05_copied_phones", f"""

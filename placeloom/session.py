@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (single-machine tests) is a temporary folder set.
+    Only where the session names none and runs on one machine (tests) is a folder of its own set, below the warehouse
+    folder; elsewhere its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = os.path.join(tempfile.gettempdir(), f"placeloom-{os.getpid()}")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/placeloom-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", found), ignore_errors=True)
     return found
 
 
