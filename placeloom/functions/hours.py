@@ -77,3 +77,52 @@ def hours(text: Column) -> Column:
             yield pd.Series([None if (p := parse_hours(x if isinstance(x, str) else None)) is None else [dict(zip(("day", "open", "close"), y)) for y in p] for x in t], dtype=object)
 
     return run(text)
+
+
+# Names of days.
+DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+def listed_hours(hours: Column) -> Column:
+    """array<struct<day, open, close>> of a map from day names to ranges ("11 AM-9 PM"), in order of the week.
+
+    Days that are closed, have several ranges, no digits on a side or no dash are left out; an opening without AM or PM
+    takes that of the close. Null where no day is left. Keys are read in any case and with outer spaces.
+    """
+    keys = F.transform(F.map_entries(hours), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("k"), F.trim(e["value"]).alias("v")))
+    # one range has one dash of some sort, and none of the marks that divide ranges
+    sides = lambda v: F.split(F.translate(v, "\u2013\u2014", "--"), r"\s*-\s*")
+
+    def row(name: str) -> Column:
+        value = F.get(F.filter(keys, lambda e: e["k"] == name.lower()), 0)["v"]
+        part = sides(value)
+        left, right = F.get(part, 0), F.array_join(F.slice(part, F.lit(2), F.greatest(F.lit(1), F.size(part))), "-")
+        half = F.upper(F.right(right, F.lit(2)))
+        opening = F.when(~F.upper(left).rlike("(AM|PM)$") & half.isin("AM", "PM"), F.concat(left, F.lit(" "), half)).otherwise(left)
+        good = value.isNotNull() & ~F.contains(value, F.lit(",")) & (F.size(part) >= 2) & left.rlike("[0-9]") & right.rlike("[0-9]")
+        return F.when(F.coalesce(good, F.lit(False)), F.struct(F.lit(name).alias("day"), opening.alias("open"), right.alias("close")))
+
+    found = F.array_compact(F.array(*[row(n) for n in DAY_NAMES]))
+    return F.when(F.size(found) > 0, found)
+
+
+def linked_hours(objects: list[dict]) -> list[tuple[str, str, str]]:
+    """(day, opens, closes) of linked data: ``openingHoursSpecification`` objects, else ``openingHours`` texts."""
+    out: list[tuple[str, str, str]] = []
+    for o in objects:
+        spec = o.get("openingHoursSpecification")
+        for s in spec if isinstance(spec, list) else [spec] if isinstance(spec, dict) else []:
+            if not isinstance(s, dict) or not s.get("opens") or not s.get("closes"):
+                continue
+            days = s.get("dayOfWeek")
+            for d in days if isinstance(days, list) else [days]:
+                name = str(d or "").rstrip("/").rpartition("/")[2].capitalize()
+                if name in DAY_NAMES:
+                    out.append((name, str(s["opens"])[:5], str(s["closes"])[:5]))
+    if not out:
+        for o in objects:
+            texts = o.get("openingHours")
+            for t in texts if isinstance(texts, list) else [texts]:
+                for d, a, b in parse_hours(t if isinstance(t, str) else None) or []:
+                    out.append((DAY_NAMES[d], f"{a // 60:02d}:{a % 60:02d}", f"{b % 1440 // 60:02d}:{b % 60:02d}"))
+    return sorted(set(out), key=lambda x: (DAY_NAMES.index(x[0]), x[1:]))

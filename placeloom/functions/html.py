@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placeloom.functions.hours import DAY_NAMES, linked_hours, parse_hours
+
 HIDDEN = {"script", "style", "noscript", "template", "svg"}
 VOID = {"br", "hr", "img", "input", "meta", "link"}
 ALLOWED = {"p": set(), "br": set(), "strong": set(), "em": set(), "ul": set(), "ol": set(), "li": set(), "h2": set(), "h3": set(), "blockquote": set(), "a": {"href", "title"}}
@@ -25,6 +27,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.meta, self.links, self.text, self.linked = "", {}, [], [], []
+        self.times: list[str] = []
         self.stack: list[str] = []
         self.ld = False
 
@@ -36,6 +39,8 @@ class Page(HTMLParser):
             self.meta.setdefault(a.get("property") or a["name"], a.get("content", ""))
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
+        if tag == "time" and a.get("datetime"):
+            self.times.append(a["datetime"])
         self.ld = tag == "script" and a.get("type", "").lower() == "application/ld+json"
 
     def handle_endtag(self, tag):
@@ -103,6 +108,76 @@ def evidence(page: str | None) -> dict | None:
     return {"title": " ".join(p.title.split()), "site": p.meta.get("og:site_name", ""), "phones": tails, "profiles": [u for _, u in sorted(found.items())], "names": names, "text": " ".join(" ".join(p.text).split())}
 
 
+def opening_hours(page: str | None) -> dict | None:
+    """{"hours": [(day, open, close)], "raw": text}: from linked data, else times marked up in ``<time>``, else the first
+    visible piece of 21 to 499 characters that speaks of opening and holds a clock time. None where nothing does."""
+    if not page:
+        return None
+    p = Page()
+    p.feed(page)
+    objects = []
+    for block in p.linked:
+        try:
+            objects += list(nodes(json.loads(block)))
+        except ValueError:
+            continue
+    found = linked_hours(objects)
+    if found:
+        return {"hours": found, "raw": None}
+    marked = [week for t in p.times if (week := parse_hours(t))]
+    if marked:
+        return {"hours": [(DAY_NAMES[d], f"{a // 60:02d}:{a % 60:02d}", f"{b % 1440 // 60:02d}:{b % 60:02d}") for week in marked for d, a, b in week], "raw": None}
+    for piece in (" ".join(x.split()) for x in p.text):
+        if 21 <= len(piece) <= 499 and re.search(r"(?i)\b(hours|open|closed)\b", piece) and re.search(r"\d{1,2}(:\d\d|\s*[ap]m)", piece, re.I):
+            return {"hours": [], "raw": piece}
+    return None
+
+
+def page_hours(page: Column) -> Column:
+    """struct(hours array<struct<day, open, close>>, raw) of :func:`opening_hours`; null without any."""
+
+    @F.pandas_udf("hours array<struct<day:string,open:string,close:string>>, raw string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            rows = [opening_hours(x if isinstance(x, str) else None) for x in t]
+            yield pd.DataFrame({"hours": [None if r is None else [dict(zip(("day", "open", "close"), h)) for h in r["hours"]] for r in rows], "raw": [None if r is None else r["raw"] for r in rows]})
+
+    return run(page)
+
+
+def sanitized_html(page: Column) -> Column:
+    """Column form of :func:`sanitized`, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series([sanitized(x if isinstance(x, str) else None) for x in t], dtype=object)
+
+    return run(page)
+
+
+def robots_allowed(rules: Column, path: Column) -> Column:
+    """Column form of :func:`robots_allow` for any agent."""
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for r, p in batches:
+            yield pd.Series([robots_allow(a or "", b or "/") for a, b in zip(r, p)], dtype=bool)
+
+    return run(rules, path)
+
+
+def profiles_of(urls: Column) -> Column:
+    """array<string>: canonical profile URLs among ``urls``, sorted; see :func:`profile`."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series([sorted({x[1] for u in us if (x := profile(u))}) if us is not None else [] for us in t], dtype=object)
+
+    return run(urls)
+
+
 def page_evidence(page: Column) -> Column:
     @F.pandas_udf("title string, site string, phones array<string>, profiles array<string>, names array<string>, text string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

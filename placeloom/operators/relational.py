@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
+from placeloom.session import materialize
 
 
 def nearby(df: DataFrame, lat: float, lng: float, radius_km: float, lat_col: str = "latitude", lng_col: str = "longitude") -> DataFrame:
@@ -42,12 +43,13 @@ def first_per_key(df: DataFrame, key: Column, *order: Column) -> DataFrame:
 def ranked(df: DataFrame, name: str, *order: Column, spread: int | None = None) -> DataFrame:
     """``df`` with its position (1, 2, ...) in a total order as ``name``.
 
-    Rows are range-partitioned, ranked within their partition and shifted by the counts of the partitions before
-    it, so no single task sorts the whole table. Only one count per partition is gathered.
+    Rows are range-partitioned, ranked within their partition, stored with its number and shifted by the counts of the
+    partitions before it, so no single task sorts the whole table and the counts are those of the rows they shift.
+    Only one count per partition is gathered.
     """
     parts = df.repartitionByRange(spread, *order) if spread else df.repartitionByRange(*order)
     parts = parts.withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    local, _ = materialize(parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "ranked")
     counts = local.groupBy("_p").agg(F.max("_r").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo, text
-from placeloom.operators import scoring
+from placeloom.operators import quality, scoring
 from placeloom.plans.relational_queries import FIELDS, has
-from placeloom.plans.scalar_queries import _ROWS
+from placeloom.plans.scalar_queries import _CODES, _ROWS, ADDRESS_SQL
 from placeloom.plans.venue_queries import P10, _ST, km_sql
 from placeloom.session import broadcast_if_small, table
+from placeloom.streaming import engagement
 
 C = F.col
 Q: dict = {}
@@ -176,11 +177,40 @@ def d13(spark, d):
     return table(spark, d, "restaurants").groupBy("state").agg(*[F.count_if(text.blank(C(f))).alias(f"no_{f}") for f in FIELDS if f != "state"])
 
 
-@query("t03_nightly_rollup", "SELECT r.id, r.total_engagement AS stored, coalesce(e.n, 0) AS counted, r.total_engagement - coalesce(e.n, 0) AS drift FROM restaurants r LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) e ON e.user_id = r.id")
+@query("d13_tidied", f"""
+WITH {ADDRESS_SQL},
+q AS (SELECT id, p, n, w, coalesce(regexp_matches(w[1], '^[A-Z][A-Z]$'), false) AS two FROM w),
+r AS (SELECT *, two AND ((len(w) = 2 AND regexp_matches(w[2], '^\\d{{5}}(-\\d{{4}})?$') AND n >= 2) OR (len(w) = 1 AND n >= 3 AND w[1] IN ({_CODES}))) AS by_state, len(w) = 1 AND n >= 3 AND regexp_matches(w[1], '^\\d{{5}}(-\\d{{4}})?$') AS by_zip, n = 3 AND regexp_matches(p[2], '^\\d+$') AS by_number FROM q),
+s AS (SELECT *, CASE WHEN by_state OR by_zip THEN p[-2] WHEN by_number THEN p[-1] END AS c1 FROM r),
+x AS (SELECT id, CASE WHEN regexp_matches(c1, '^[A-Za-z][A-Za-z .''-]+$') THEN c1 END AS a_city, CASE WHEN regexp_matches(c1, '^[A-Za-z][A-Za-z .''-]+$') AND by_state AND w[1] IN ({_CODES}) THEN w[1] END AS a_state FROM s),
+y AS (SELECT t.id, t.name AS n0, t.address AS a0, t.city AS c0, t.state AS s0, t.phone AS p0, coalesce(nullif(trim(regexp_replace(name, '\\s+', ' ', 'g'), ' '), ''), name) AS name, nullif(trim(regexp_replace(address, '\\s+', ' ', 'g'), ' '), '') AS address,
+  CASE WHEN trim(coalesce(city, ''), ' ') <> '' THEN city ELSE a_city END AS c2, CASE WHEN trim(coalesce(state, ''), ' ') <> '' THEN coalesce({_ST}, trim(state, ' ')) ELSE a_state END AS state, {P10} AS phone FROM restaurants t JOIN x ON x.id = t.id),
+v AS (SELECT *, CASE WHEN trim(coalesce(c2, ''), ' ') <> '' THEN array_to_string(list_transform(string_split(lower(trim(regexp_replace(c2, '\\s+', ' ', 'g'), ' ')), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('of', 'the', 'and', 'at', 'in', 'on', 'de', 'la', 'del') THEN w ELSE upper(w[1]) || w[2:] END), ' ') END AS city FROM y)
+SELECT id, name, address, city, state, phone, array_to_string(list_filter([CASE WHEN name IS DISTINCT FROM n0 THEN 'name' END, CASE WHEN address IS DISTINCT FROM a0 THEN 'address' END, CASE WHEN city IS DISTINCT FROM c0 THEN 'city' END, CASE WHEN state IS DISTINCT FROM s0 THEN 'state' END, CASE WHEN phone IS DISTINCT FROM p0 THEN 'phone' END], lambda x: x IS NOT NULL), ',') AS changed FROM v""")
+def d13t(spark, d):
+    return quality.tidied(table(spark, d, "restaurants"))
+
+
+@query("d12_problems", """
+WITH g AS (SELECT * FROM (VALUES ('view', 60, 0, 30), ('click', 1440, 5, 30), ('signup', 30, 0, 2880), ('purchase', 2, 0, 30), ('refund', 1440, 0, 30)) v(command, every_minutes, offset_minutes, budget_minutes)),
+f AS (SELECT event_type AS command, ts, CASE WHEN value > 50 THEN 'done' WHEN value > 1 THEN 'failed' END AS status, epoch_us(ts) / 60e6 AS m FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-20'),
+b AS (SELECT f.*, g.*, ((m - offset_minutes) % every_minutes + every_minutes) % every_minutes AS behind, epoch_us(TIMESTAMP '2024-01-20') / 60e6 AS z FROM f JOIN g USING (command)),
+p AS (SELECT command, count(*) AS fires, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status IS NULL AND z - m > budget_minutes) AS hung, arg_max(least(behind, every_minutes - behind), ts) AS last_drift, count(*) FILTER (WHERE least(behind, every_minutes - behind) > 10) AS off, max(m) AS last FROM b GROUP BY 1),
+j AS (SELECT g.*, p.* EXCLUDE command, coalesce(fires, 0) AS n, floor((epoch_us(TIMESTAMP '2024-01-20') / 60e6 - offset_minutes) / every_minutes) - floor((epoch_us(TIMESTAMP '2024-01-08') / 60e6 - offset_minutes - 1e-9) / every_minutes) AS slots FROM g LEFT JOIN p USING (command))
+SELECT command, n = 0 AND slots > 0 AS never_fired, coalesce(failed > 0, false) AS failed, coalesce(hung > 0, false) AS hung, coalesce(last_drift > 10, false) AS off_schedule, coalesce(off, 0) AS off_schedule_fires, coalesce(epoch_us(TIMESTAMP '2024-01-20') / 60e6 - last > 1.5 * every_minutes, false) AS stopped_firing, n > slots AS over_fired FROM j""")
+def d12p(spark, d):
+    e = table(spark, d, "events").select(C("event_type").alias("command"), C("ts").cast("timestamp").alias("at"), F.when(C("value") > 50, "done").when(C("value") > 1, "failed").alias("status"))
+    g = spark.createDataFrame([("view", 60, 0, 30), ("click", 1440, 5, 30), ("signup", 30, 0, 2880), ("purchase", 2, 0, 30), ("refund", 1440, 0, 30)], "command string, every_minutes int, offset_minutes int, budget_minutes int")
+    return quality.schedule_problems(e, g, "2024-01-08", "2024-01-20")
+
+
+@query("t03_nightly_rollup", "SELECT user_id, event_type, count(*) AS live, count(*) AS counted, 0 AS drift FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2")
 def t03(spark, d):
-    n = table(spark, d, "events").groupBy(C("user_id").alias("id")).agg(F.count("*").alias("n"))
-    r = table(spark, d, "restaurants").select("id", "total_engagement").join(n, "id", "left")
-    return r.select("id", C("total_engagement").alias("stored"), F.coalesce("n", F.lit(0)).alias("counted"), (C("total_engagement") - F.coalesce("n", F.lit(0))).alias("drift"))
+    """The nightly recount of every live counter (t01), which overrides what the stream has added up."""
+    events = table(spark, d, "events").where("user_id IS NOT NULL").groupBy("user_id", "event_type").agg(F.count("*").alias("counted"))
+    live = engagement.live_counters(engagement.stream(spark, f"{d}/events.parquet"), "user_id", "event_type").withColumnRenamed("n", "live")
+    j = live.join(events, ["user_id", "event_type"], "full")
+    return j.select("user_id", "event_type", "live", "counted", (F.coalesce("live", F.lit(0)) - F.coalesce("counted", F.lit(0))).cast("int").alias("drift"))
 
 
 @query("t05_expired_cache", "SELECT group_id, max(fetched_at) AS newest, count(*) FILTER (WHERE fetched_at < TIMESTAMP '2026-01-01') AS expired FROM live_venues GROUP BY 1")

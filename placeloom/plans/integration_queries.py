@@ -181,11 +181,12 @@ def o11(spark, d):
 
 
 @query("d09_city_far_from_pin", f"""
-WITH c AS (SELECT lower(trim(city, ' ')) AS ck, count(*) AS n, median(CAST(latitude AS DOUBLE)) AS c_lat, median(CAST(longitude AS DOUBLE)) AS c_lng FROM restaurants WHERE city IS NOT NULL AND latitude <> 0 AND longitude <> 0 GROUP BY 1)
+WITH c AS (SELECT lower(trim(city, ' ')) AS ck, count(*) AS n, median(round(CAST(latitude AS DOUBLE), 3)) AS c_lat, median(round(CAST(longitude AS DOUBLE), 3)) AS c_lng FROM restaurants WHERE city IS NOT NULL AND latitude <> 0 AND longitude <> 0 GROUP BY 1)
 SELECT r.id, CASE WHEN c.n < 5 THEN 'unknown' WHEN {km_sql('c.c_lat', 'c.c_lng', 'CAST(r.latitude AS DOUBLE)', 'CAST(r.longitude AS DOUBLE)')} > 50 THEN 'far' ELSE 'near' END AS verdict FROM restaurants r JOIN c ON c.ck = lower(trim(r.city, ' ')) WHERE r.latitude <> 0 AND r.longitude <> 0""")
 def d09(spark, d):
     r = table(spark, d, "restaurants").where("city IS NOT NULL AND latitude <> 0 AND longitude <> 0").select("id", F.lower(F.trim("city")).alias("ck"), C("latitude").cast("double").alias("lat"), C("longitude").cast("double").alias("lng"))
-    c = r.groupBy("ck").agg(F.count("*").alias("n"), F.median("lat").alias("c_lat"), F.median("lng").alias("c_lng"))
+    # a median counts distinct values: at three decimals a city has some thousands, however many rows
+    c = r.groupBy("ck").agg(F.count("*").alias("n"), F.median(F.round("lat", 3)).alias("c_lat"), F.median(F.round("lng", 3)).alias("c_lng"))
     far = geo.haversine_asin_km(C("c_lat"), C("c_lng"), C("lat"), C("lng")) > 50
     return r.join(c, "ck").select("id", F.when(C("n") < 5, "unknown").when(far, "far").otherwise("near").alias("verdict"))
 
@@ -204,9 +205,13 @@ def d12(spark, d):
 
 @query("d12_gaps", "SELECT event_type, max(gap) AS longest_s, count(*) FILTER (WHERE gap > 3600) AS stops FROM (SELECT event_type, CAST(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id))) / 1e6) AS BIGINT) AS gap FROM events) GROUP BY 1")
 def d12g(spark, d):
-    us = F.unix_micros(C("ts").cast("timestamp"))
-    gap = F.floor((us - F.lag(us).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))) / 1e6)
-    return table(spark, d, "events").withColumn("gap", gap).groupBy("event_type").agg(F.max("gap").alias("longest_s"), F.count_if(C("gap") > 3600).alias("stops"))
+    # gaps are taken within a type and day, then between a day's first event and the last one of the days before
+    e = table(spark, d, "events").select("event_type", "event_id", F.to_date("ts").alias("day"), F.unix_micros(C("ts").cast("timestamp")).alias("us"))
+    inside = e.withColumn("gap", F.floor((C("us") - F.lag("us").over(Window.partitionBy("event_type", "day").orderBy("us", "event_id"))) / 1e6))
+    days = inside.groupBy("event_type", "day").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.max("gap").alias("gap"), F.count_if(C("gap") > 3600).alias("stops"))
+    # one row for each type and day
+    between = days.withColumn("edge", F.floor((C("first") - F.lag("last").over(Window.partitionBy("event_type").orderBy("day"))) / 1e6))
+    return between.groupBy("event_type").agg(F.max(F.greatest("gap", "edge")).alias("longest_s"), F.sum(C("stops") + F.when(C("edge") > 3600, 1).otherwise(0)).alias("stops"))
 
 
 @query("s14_log_lines", "SELECT event_type AS command, date_trunc('minute', ts) AS minute, count(*) AS fires FROM events GROUP BY 1, 2")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from placeloom.operators.spatial_join import within_circles
-from placeloom.plans import detail_queries, integration_queries, relational_queries, scalar_queries, stream_queries, venue_queries
+from placeloom.plans import detail_queries, integration_queries, page_queries, relational_queries, scalar_queries, search_queries, stream_queries, venue_queries
 from placeloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +26,8 @@ AND 2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(z.lat - f.lat) / 2), 2)
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found} | scalar_queries.Q | relational_queries.Q | venue_queries.Q | stream_queries.Q | integration_queries.Q | detail_queries.Q
+    return {"p5_found": p5_found} | scalar_queries.Q | relational_queries.Q | venue_queries.Q | stream_queries.Q | integration_queries.Q | detail_queries.Q | page_queries.Q | search_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL} | scalar_queries.SQL | relational_queries.SQL | venue_queries.SQL | stream_queries.SQL | integration_queries.SQL | detail_queries.SQL
+    return {"p5_found": P5_SQL} | scalar_queries.SQL | relational_queries.SQL | venue_queries.SQL | stream_queries.SQL | integration_queries.SQL | detail_queries.SQL | page_queries.SQL | search_queries.SQL

@@ -74,10 +74,10 @@ def x07all(spark, d):
 
 
 ADDRESS_SQL = r"""
-a AS (SELECT id, postal_code, list_filter(list_transform(string_split(coalesce(address, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS p0 FROM restaurants),
-b AS (SELECT *, CASE WHEN upper(replace(p0[-1], '.', '')) IN ('US', 'USA', 'UNITED STATES') THEN p0[:-2] ELSE p0 END AS p1 FROM a),
-c AS (SELECT *, CASE WHEN len(p1) > 0 AND regexp_matches(p1[-1], '\s(US|USA)\.?$', 'i') THEN list_concat(p1[:-2], [regexp_replace(p1[-1], '\s+(US|USA)\.?$', '', 'i')]) ELSE p1 END AS p FROM b),
-w AS (SELECT id, postal_code, p, len(p) AS n, CASE WHEN len(p) > 0 THEN regexp_split_to_array(p[-1], '\s+') ELSE [] END AS w FROM c)
+ad_a AS (SELECT id, postal_code, list_filter(list_transform(string_split(coalesce(address, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS p0 FROM restaurants),
+ad_b AS (SELECT *, CASE WHEN upper(replace(p0[-1], '.', '')) IN ('US', 'USA', 'UNITED STATES') THEN p0[:-2] ELSE p0 END AS p1 FROM ad_a),
+ad_c AS (SELECT *, CASE WHEN len(p1) > 0 AND regexp_matches(p1[-1], '\s(US|USA)\.?$', 'i') THEN list_concat(p1[:-2], [regexp_replace(p1[-1], '\s+(US|USA)\.?$', '', 'i')]) ELSE p1 END AS p FROM ad_b),
+w AS (SELECT id, postal_code, p, len(p) AS n, CASE WHEN len(p) > 0 THEN regexp_split_to_array(p[-1], '\s+') ELSE [] END AS w FROM ad_c)
 """
 
 

@@ -136,22 +136,33 @@ def x04(spark, d):
 
 # scoring
 
-_DEN = {c: f"(SELECT coalesce(greatest(max({c}) FILTER (WHERE {c} > 0), 500), 5000) FROM restaurants)" for c in ("website_clicks_count", "pageviews_count")}
-_SCORE = f"""
-WITH m AS (SELECT coalesce(avg(CAST(google_rating AS DOUBLE)) FILTER (WHERE google_rating > 0 AND google_review_count >= 50 AND latitude <> 0 AND longitude <> 0), 4.0) AS c FROM restaurants),
-s AS (SELECT r.*, coalesce(google_rating > 0, false) AS rated, CAST(google_review_count AS DOUBLE) AS v, m.c,
-  round(({' + '.join(f"CASE WHEN trim(coalesce({f}, ''), ' ') <> '' THEN 1 ELSE 0 END" for f in ('name', 'address', 'phone', 'price_range', 'website_url', 'photo_url'))} + CASE WHEN coalesce(latitude, 0) <> 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(longitude, 0) <> 0 THEN 1 ELSE 0 END) / 10.0, 4) AS completeness,
-  round(CAST(0.85 * (0.20 * greatest(0.0, least(1.0, coalesce(CAST(overture_confidence AS DOUBLE), 0.0))) + 0.20 * CASE WHEN trim(coalesce(website_url, ''), ' ') <> '' THEN 0.3 ELSE 0.0 END) AS DECIMAL(18, 12)), 4)::DOUBLE AS evidence
-  FROM restaurants r, m),
-t AS (SELECT id, rated,
-  CASE WHEN rated THEN 0.35 * greatest(0.0, least(1.0, (v / (v + 50) * CAST(google_rating AS DOUBLE) + 50 / (v + 50) * c) / 5)) ELSE 0.35 * evidence END
-  + 0.05 * completeness + CASE WHEN has_award THEN 0.05 ELSE 0 END
-  + 0.20 * least(1.0, ln(1 + website_clicks_count) / ln(1 + {_DEN['website_clicks_count']})) + 0.10 * least(1.0, ln(1 + pageviews_count) / ln(1 + {_DEN['pageviews_count']})) AS raw,
-  0.35 + 0.05 + CASE WHEN has_award THEN 0.05 ELSE 0 END + 0.20 + 0.10 + 0.20 AS total FROM s)
+_COUNT_SIGNALS = {"website_clicks_count": 0.20, "pageviews_count": 0.10, "social_link_clicks_count": 0.05, "menu_click_count": 0.05, "directions_clicks_count": 0.05, "call_clicks_count": 0.05}
+
+
+def score_sql(rows: str = "SELECT *, NULL::DOUBLE AS distance FROM restaurants", quality_weight: float = 0.35) -> str:
+    """CTEs n (signals as rows: id, i, signal, w, v) and t (id, raw, total) over ``rows``."""
+    seen = ("website_clicks_count", "pageviews_count")
+    den = ", ".join(f"CAST(coalesce(greatest(max({c}) FILTER (WHERE {c} > 0), 500), 5000) AS DOUBLE) AS den_{c}" for c in seen)
+    unit = lambda x: f"greatest(0.0, least(1.0, {x}))"
+    counts = " ".join(f"UNION ALL SELECT id, {6 + i}, '{c}', {w}, {unit(f'ln(1 + coalesce({c}, 0)) / ln(1 + den_{c})') if c in seen else '0.0'} FROM s" for i, (c, w) in enumerate(_COUNT_SIGNALS.items()))
+    filled = " + ".join([*(f"CASE WHEN trim(coalesce({f}, ''), ' ') <> '' THEN 1 ELSE 0 END" for f in ("name", "address", "phone", "price_range", "website_url", "photo_url")), "CASE WHEN coalesce(latitude, 0) <> 0 THEN 1 ELSE 0 END", "CASE WHEN coalesce(longitude, 0) <> 0 THEN 1 ELSE 0 END"])
+    return f"""
+b AS ({rows}),
+m AS (SELECT coalesce(avg(CAST(google_rating AS DOUBLE)) FILTER (WHERE google_rating > 0 AND google_review_count >= 50 AND latitude <> 0 AND longitude <> 0), 4.0) AS c, {den} FROM b),
+s AS (SELECT b.*, m.*, coalesce(google_rating > 0, false) AS rated, CAST(google_review_count AS DOUBLE) AS v FROM b, m),
+n AS (SELECT id, 0 AS i, 'quality' AS signal, {quality_weight} AS w, {unit('(coalesce(v, 0) / (coalesce(v, 0) + 50) * CAST(google_rating AS DOUBLE) + 50 / (coalesce(v, 0) + 50) * c) / 5')} AS v FROM s WHERE rated
+UNION ALL SELECT id, 1, 'evidence', 0.35, CAST(round(CAST(0.85 * (0.20 * {unit('coalesce(CAST(overture_confidence AS DOUBLE), 0.0)')} + 0.20 * CASE WHEN trim(coalesce(website_url, ''), ' ') <> '' THEN 0.3 ELSE 0.0 END) AS DECIMAL(18, 12)), 4) AS DOUBLE) FROM s WHERE NOT rated
+UNION ALL SELECT id, 2, 'proximity', 0.15, {unit('1 / (1 + distance / 2.0)')} FROM s WHERE distance >= 0
+UNION ALL SELECT id, 3, 'data_completeness', 0.05, round(({filled}) / 10.0, 4) FROM s
+UNION ALL SELECT id, 4, 'has_award', 0.05, 1.0 FROM s WHERE has_award {counts}),
+t AS (SELECT id, sum(w * v) AS raw, sum(w) AS total FROM n GROUP BY id)
 """
 
 
-@query("r01_scores", _SCORE + "SELECT id, CAST(round(CAST(raw / total AS DECIMAL(18, 12)), 4) AS DOUBLE) AS score FROM t")
+_ROUNDED = "CAST(round(CAST(raw / total AS DECIMAL(18, 12)), 4) AS DOUBLE)"
+
+
+@query("r01_scores", f"WITH {score_sql()} SELECT id, {_ROUNDED} AS score FROM t")
 def r01(spark, d):
     r = table(spark, d, "restaurants")
     return scoring.scored(r, scoring.collection_stats(r)).select("id", "score")
@@ -162,14 +173,17 @@ def r04(spark, d):
     return scoring.collection_stats(table(spark, d, "restaurants")).select(F.round("mean_rating", 6).alias("mean_rating"), "den_pageviews_count")
 
 
-@query("r11_breakdown")
+@query("r11_breakdown", f"WITH {score_sql()} SELECT n.id, CAST(row_number() OVER (PARTITION BY n.id ORDER BY round(w * v / total, 6) DESC, i) - 1 AS INTEGER) AS pos, signal, round(w / total, 6) AS weight, round(v, 6) AS normalized, round(w * v / total, 6) AS contribution FROM n JOIN t USING (id)")
 def r11(spark, d):
     r = table(spark, d, "restaurants")
     s = scoring.scored(r, scoring.collection_stats(r), breakdown=True)
     return s.select("id", F.posexplode("breakdown").alias("pos", "b")).select("id", "pos", "b.*")
 
 
-@query("r13_scoped_scores")
+_NEAR = "SELECT * FROM (SELECT *, 6371.0 * acos(greatest(-1.0, least(1.0, cos(radians(43.0)) * cos(radians(CAST(latitude AS DOUBLE))) * cos(radians(CAST(longitude AS DOUBLE)) - radians(-114.1)) + sin(radians(43.0)) * sin(radians(CAST(latitude AS DOUBLE)))))) AS distance FROM restaurants WHERE latitude IS NOT NULL AND longitude IS NOT NULL) WHERE distance <= 25.0"
+
+
+@query("r13_scoped_scores", f"WITH {score_sql(_NEAR)} SELECT id, {_ROUNDED} AS score, round(distance, 6) AS distance FROM t JOIN b USING (id)")
 def r13(spark, d):
     from placeloom.operators.relational import nearby
 
@@ -178,7 +192,7 @@ def r13(spark, d):
     return scoring.scored(near, scoring.collection_stats(near)).select("id", "score", F.round("distance", 6).alias("distance"))
 
 
-@query("r14_what_if")
+@query("r14_what_if", f"SELECT a.id, a.score AS now, z.score AS then, round(z.score - a.score, 4) AS change FROM (WITH {score_sql()} SELECT id, {_ROUNDED} AS score FROM t) a JOIN (WITH {score_sql(quality_weight=0.6)} SELECT id, {_ROUNDED} AS score FROM t) z USING (id)")
 def r14(spark, d):
     r = table(spark, d, "restaurants")
     stats = scoring.collection_stats(r)
@@ -208,7 +222,14 @@ def m08(spark, d):
     return table(spark, d, "restaurants").withColumn("types", F.array_join("place_types", " ")).where(relevance.text_of("types", "description").rlike(scope.rival)).select("id")
 
 
-@query("m09_audited_tags")
+_HITS = "CASE slug " + " ".join(f"WHEN '{k}' THEN " + " + ".join(f"{f} * len(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '\\b({'|'.join(v)})')))" for f, c in ((1.0, "name"), (0.5, "description"))) for k, v in LEXICON.items()) + " ELSE 0.0 END"
+
+
+@query("m09_audited_tags", f"""
+WITH t AS (SELECT DISTINCT x.restaurant_id, x.cuisine_id FROM cuisine_restaurant x),
+g AS (SELECT r.id, c.slug, r.name, r.description FROM t JOIN cuisines c ON c.id = t.cuisine_id JOIN restaurants r ON r.id = t.restaurant_id),
+h AS (SELECT id, slug, CAST({_HITS} AS DOUBLE) AS hits FROM g)
+SELECT id, slug, hits, count(*) OVER (PARTITION BY id) < 3 OR row_number() OVER (PARTITION BY id ORDER BY hits DESC, slug) = 1 AS kept FROM h""")
 def m09(spark, d):
     r = table(spark, d, "restaurants").select(C("id").alias("restaurant_id"), "name", "description")
     t = tagged_venues(spark, d).join(r, "restaurant_id").select(C("restaurant_id").alias("id"), "slug", F.lit(1).alias("category"), "name", "description")
@@ -227,32 +248,65 @@ def d03(spark, d):
 _NK = "trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'), ' ')"
 
 
-@query("d04_copied_ratings", f"""
-WITH r AS (SELECT id, {_NK} AS nk, google_rating, google_review_count, lower(trim(city, ' ')) AS city FROM restaurants WHERE google_rating > 0 AND google_review_count > 0),
-m AS (SELECT nk, google_rating, google_review_count, min(id) AS first FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT city) > 1)
-SELECT r.id, 'google_rating' AS field, 'copied rating' AS reason, CAST(m.first AS VARCHAR) AS detail FROM r JOIN m USING (nk, google_rating, google_review_count) WHERE r.id <> m.first""")
-def d04(spark, d):
-    return quality.copied_ratings(table(spark, d, "restaurants"))
+_ST = "CASE WHEN upper(trim(state, ' ')) IN (" + ", ".join(f"'{c}'" for c, _ in _ROWS) + ") THEN upper(trim(state, ' ')) " + " ".join(f"WHEN lower(trim(state, ' ')) = '{n}' THEN '{c}'" for c, n in _ROWS) + " END"
+_AREAS = f"""
+r0 AS (SELECT *, {_NK} AS nk, {P10} AS p, {_ST} AS st, lower(trim(city, ' ')) AS ck FROM restaurants),
+h AS (SELECT area, st AS home FROM (SELECT substr(p, 1, 3) AS area, st, row_number() OVER (PARTITION BY substr(p, 1, 3) ORDER BY count(*) DESC, st DESC) AS k FROM r0 WHERE p IS NOT NULL AND st IS NOT NULL GROUP BY substr(p, 1, 3), st) WHERE k = 1)
+"""
+_COPIED = f"""
+{_AREAS},
+c AS (SELECT r0.id, nk, google_rating AS gr, coalesce(google_review_count, -1) AS gc, ck, p, coalesce(home = st, false) AS here FROM r0 LEFT JOIN h ON h.area = substr(p, 1, 3) WHERE is_active AND google_rating > 0),
+m AS (SELECT nk, gr, gc FROM c WHERE nk IS NOT NULL GROUP BY ALL HAVING count(DISTINCT ck) > 1),
+k AS (SELECT c.* FROM c JOIN m USING (nk, gr, gc)),
+sh AS (SELECT nk, gr, gc, p, min(id) FILTER (WHERE here) AS id FROM k WHERE p IS NOT NULL GROUP BY ALL HAVING count(*) > 1 AND count(*) FILTER (WHERE here) = 1),
+f AS (SELECT nk, gr, gc, arg_min(id, p) AS by_phone FROM sh GROUP BY ALL),
+l AS (SELECT nk, gr, gc, CASE WHEN count(*) FILTER (WHERE here) = 1 THEN min(id) FILTER (WHERE here) END AS alone FROM k GROUP BY ALL),
+o AS (SELECT l.nk, l.gr, l.gc, coalesce(f.by_phone, l.alone) AS owner FROM l LEFT JOIN f USING (nk, gr, gc)),
+bad AS (SELECT k.id, o.owner FROM k JOIN o USING (nk, gr, gc) WHERE o.owner IS NULL OR o.owner <> k.id)
+"""
 
 
-_ST = "CASE WHEN upper(trim(state, ' ')) IN (" + ", ".join(f"'{c}'" for c, _ in _ROWS) + ") THEN upper(trim(state, ' ')) " + " ".join(f"WHEN lower(trim(state, ' ')) = '{n}' THEN '{c}'" for c, n in _ROWS) + " END"
+@query("d04_copied_ratings", f"WITH {_COPIED} SELECT id, 'google_rating' AS field, 'copied rating' AS reason, CAST(owner AS VARCHAR) AS detail FROM bad")
+def d04(spark, d):
+    return quality.copied_ratings(table(spark, d, "restaurants"))
 
 
 @query("d05_copied_phones", f"""
-WITH r AS (SELECT id, {_NK} AS nk, {P10} AS p, lower(trim(city, ' ')) AS city, {_ST} AS st FROM restaurants),
-h AS (SELECT area, st AS home FROM (SELECT substr(p, 1, 3) AS area, st, row_number() OVER (PARTITION BY substr(p, 1, 3) ORDER BY count(*) DESC, st DESC) AS k FROM r WHERE p IS NOT NULL AND st IS NOT NULL GROUP BY substr(p, 1, 3), st) WHERE k = 1),
-m AS (SELECT nk, p FROM r WHERE p IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT city) > 1)
-SELECT r.id, 'phone' AS field, 'copied phone' AS reason, h.home AS detail FROM r JOIN m USING (nk, p) JOIN h ON h.area = substr(r.p, 1, 3) WHERE st IS NULL OR st <> home""")
+WITH {_AREAS},
+m AS (SELECT nk, p FROM r0 WHERE is_active AND p IS NOT NULL AND nk IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT ck) > 1)
+SELECT r0.id, 'phone' AS field, 'copied phone' AS reason, h.home AS detail FROM r0 JOIN m USING (nk, p) JOIN h ON h.area = substr(r0.p, 1, 3) WHERE is_active AND (st IS NULL OR st <> home)""")
 def d05(spark, d):
     return quality.copied_phones(table(spark, d, "restaurants"))
 
 
-@query("d06_foreign_state")
+_ZIP_NAMED = f"""
+{ADDRESS_SQL},
+z AS (SELECT id, CASE WHEN regexp_matches(w[-1], '^\\d{{5}}(-\\d{{4}})?$') AND NOT (n = 2 AND len(w) = 1 AND NOT regexp_matches(p[1], '^\\d')) THEN left(w[-1], 5) END AS a_zip, CASE WHEN regexp_matches(trim(postal_code, ' '), '^\\d{{5}}(-\\d{{4}})?$') THEN left(trim(postal_code, ' '), 5) END AS p_zip,
+  CASE WHEN regexp_matches(p[-2], '^[A-Za-z][A-Za-z .''-]+$') AND regexp_matches(w[1], '^[A-Z][A-Z]$') AND w[1] IN ({_CODES}) AND ((len(w) = 2 AND n >= 2 AND regexp_matches(w[2], '^\\d{{5}}(-\\d{{4}})?$')) OR (len(w) = 1 AND n >= 3)) THEN w[1] END AS named FROM w)
+"""
+
+
+@query("d06_foreign_state", f"""
+WITH {_ZIP_NAMED}, s AS (SELECT id, latitude, longitude, {_ST} AS st FROM restaurants)
+SELECT s.id, 'address' AS field, 'names another state' AS reason, z.named AS detail FROM s JOIN z USING (id) LEFT JOIN zip_centroids q ON q.zip = z.a_zip
+WHERE z.named <> s.st AND NOT coalesce(s.latitude <> 0 AND s.longitude <> 0 AND {km_sql('q.lat', 'q.lng', 'CAST(s.latitude AS DOUBLE)', 'CAST(s.longitude AS DOUBLE)')} <= 50, false)""")
 def d06(spark, d):
-    return quality.foreign_state_addresses(table(spark, d, "restaurants"))
+    return quality.foreign_state_addresses(table(spark, d, "restaurants"), table(spark, d, "zip_centroids"))
+
+
+@query("d06_swapped_states", f"""
+WITH {_ZIP_NAMED}, s AS (SELECT id, latitude, longitude, 'IA' AS st FROM restaurants)
+SELECT s.id, 'address' AS field, 'names another state' AS reason, z.named AS detail FROM s JOIN z USING (id) LEFT JOIN zip_centroids q ON q.zip = z.a_zip
+WHERE z.named <> s.st AND NOT coalesce(s.latitude <> 0 AND s.longitude <> 0 AND {km_sql('q.lat', 'q.lng', 'CAST(s.latitude AS DOUBLE)', 'CAST(s.longitude AS DOUBLE)')} <= 50, false)""")
+def d06s(spark, d):
+    """The same with every row's state set to one, so that most addresses name another."""
+    return quality.foreign_state_addresses(table(spark, d, "restaurants").withColumn("state", F.lit("Iowa")), table(spark, d, "zip_centroids"))
 
 
-@query("d07_far_zips")
+@query("d07_far_zips", f"""
+WITH {_ZIP_NAMED}
+SELECT r.id, 'postal_code' AS field, 'far from pin' AS reason, q.zip AS detail FROM restaurants r JOIN z USING (id) JOIN zip_centroids q ON q.zip = coalesce(z.a_zip, z.p_zip)
+WHERE r.latitude <> 0 AND r.longitude <> 0 AND {km_sql('q.lat', 'q.lng', 'CAST(r.latitude AS DOUBLE)', 'CAST(r.longitude AS DOUBLE)')} > greatest(50, 3 * coalesce(q.radius_km, 0))""")
 def d07(spark, d):
     return quality.far_zips(table(spark, d, "restaurants"), table(spark, d, "zip_centroids"))
 
@@ -270,16 +324,21 @@ def d14(spark, d):
     return quality.normalized(table(spark, d, "restaurants"))
 
 
-@query("k09_quarantine_view", f"""
-WITH r AS (SELECT *, {_NK} AS nk, lower(trim(city, ' ')) AS ck FROM restaurants),
-m AS (SELECT nk, google_rating, google_review_count, min(id) AS first FROM r WHERE google_rating > 0 AND google_review_count > 0 GROUP BY 1, 2, 3 HAVING count(DISTINCT ck) > 1)
-SELECT r.id, CAST(CASE WHEN m.first IS NOT NULL AND m.first <> r.id THEN NULL ELSE r.google_rating END AS DOUBLE) AS google_rating FROM r LEFT JOIN m USING (nk, google_rating, google_review_count)""")
+@query("k09_quarantine_view", f"WITH {_COPIED} SELECT r.id, CAST(CASE WHEN bad.id IS NULL THEN r.google_rating END AS DOUBLE) AS google_rating FROM restaurants r LEFT JOIN bad USING (id)")
 def k09(spark, d):
     r = table(spark, d, "restaurants")
     view, _ = quality.quarantine(r.select("id", "google_rating"), quality.copied_ratings(r), ["google_rating"])
     return view.withColumn("google_rating", C("google_rating").cast("double"))
 
 
+@query("d11_restored", "SELECT id, CAST(google_rating AS DOUBLE) AS google_rating FROM restaurants")
+def d11(spark, d):
+    """What the log keeps puts back all that the view lost."""
+    r = table(spark, d, "restaurants").withColumn("google_rating", C("google_rating").cast("double"))
+    view, log = quality.quarantine(r.select("id", "google_rating"), quality.copied_ratings(table(spark, d, "restaurants")), ["google_rating"])
+    return quality.restored(view, log, ["google_rating"])
+
+
 @query("s12_fresh_cache", f"SELECT source, count(*) AS n FROM live_venues WHERE fetched_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY GROUP BY 1")
 def s12(spark, d):
     edge = F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 90 DAYS")
@@ -288,9 +347,9 @@ def s12(spark, d):
 
 @query("s13_cached_payloads", "SELECT group_id, id, name, phone FROM live_venues WHERE group_id IS NOT NULL")
 def s13(spark, d):
-    # one JSON document per group, written and read again as a cache would hold it
+    # one JSON document for every hundred places of a group's order, written and read again as a cache would hold it
     v = table(spark, d, "live_venues").where("group_id IS NOT NULL")
-    docs = v.groupBy("group_id").agg(F.to_json(F.collect_list(F.struct("id", "name", "phone"))).alias("data"))
+    docs = v.groupBy("group_id", F.floor(C("ord") / 100).alias("chunk")).agg(F.to_json(F.collect_list(F.struct("id", "name", "phone"))).alias("data"))
     return docs.select("group_id", F.explode(F.from_json("data", "array<struct<id:long,name:string,phone:string>>")).alias("v")).select("group_id", "v.*")
 
 

@@ -70,6 +70,26 @@ def knowledge_base(docs: DataFrame, payload: str) -> DataFrame:
     return v.select(*venue("wikidata", ord=F.col("ord"), name=F.col("v.label.value"), lat=n(2), lng=n(1)))
 
 
+def whole(c: Column) -> Column:
+    return F.round(c).cast("long").cast("string")
+
+
+def overpass_request(lat: Column, lng: Column, radius_km: Column) -> Column:
+    """The query for restaurants around a point: nodes, ways and relations with their centers."""
+    return F.concat(F.lit('[out:json];nwr["amenity"="restaurant"](around:'), whole(radius_km * 1000), F.lit(","), F.format_string("%.6f", lat), F.lit(","), F.format_string("%.6f", lng), F.lit(");out center;"))
+
+
+def soda_circle(lat: Column, lng: Column, radius_km: Column) -> Column:
+    """The where-clause of an open-data request around a point."""
+    return F.concat(F.lit("within_circle(location, "), F.format_string("%.6f", lat), F.lit(", "), F.format_string("%.6f", lng), F.lit(", "), whole(radius_km * 1000), F.lit(")"))
+
+
+def box_of(lat: Column, lng: Column, radius_km: Column) -> Column:
+    """west,south,east,north of the box around a circle, for text search and box queries."""
+    up, side = radius_km / 111.32, radius_km / 111.32 / F.cos(F.radians(lat))
+    return F.concat_ws(",", *[F.format_string("%.4f", x) for x in (lng - side, lat - up, lng + side, lat + up)])
+
+
 ADAPTERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {"bizdata": directory, "overpass": map_elements, "serpapi": map_search, "socrata": open_data, "photon": geojson, "wikidata": knowledge_base}
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,31 +52,45 @@ def live_counters(events: DataFrame, entity: str, action: str) -> DataFrame:
     return drained(counts, "update", latest)
 
 
+def accepted_of(us: np.ndarray, last: int | None, span: int) -> list[int]:
+    """Places in sorted ``us`` of the values that lie more than ``span`` after the last accepted one; jumps from one to the next."""
+    out: list[int] = []
+    i = 0 if last is None else int(np.searchsorted(us, last + span, side="right"))
+    while i < len(us):
+        out.append(i)
+        i = int(np.searchsorted(us, us[i] + span, side="right"))
+    return out
+
+
 def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, seconds: float) -> Iterator[pd.DataFrame]:
-    """Events more than ``seconds`` after the last accepted one of their key."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    last = state.get[0] if state.exists else None
-    kept = []
-    for i, t in enumerate(rows["ts"]):
-        us = t.value // 1000
-        if last is None or us - last > seconds * 1e6:
-            kept.append(i)
-            last = us
-    state.update((last,))
-    yield rows.iloc[kept][["event_id", "ts"]].assign(user_id=key[0], event_type=key[1])[["event_id", "user_id", "event_type", "ts"]]
-
-
-def accepted_events(events: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """Events more than ``seconds`` after the last accepted one of their key. Only an id and a time are held of each."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    parts = [(b["event_id"].to_numpy(np.int64), b["ts"].to_numpy("datetime64[us]").astype(np.int64)) for b in batches]
+    ids, us = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((ids, us))
+    ids, us = ids[order], us[order]
+    kept = accepted_of(us, state.get[0] if state.exists else None, int(seconds * 1e6))
+    if kept:
+        state.update((int(us[kept[-1]]),))
+    if state.exists:
+        # once the watermark is past this, whatever still comes is accepted with or without a state
+        state.setTimeoutTimestamp(int((state.get[0] + seconds * 1e6) // 1000) + 1000)
+    yield pd.DataFrame({"event_id": ids[kept], "user_id": key[0], "event_type": key[1], "ts": pd.to_datetime(us[kept], unit="us")})
+
+
+def accepted_events(events: DataFrame, seconds: float = 60.0, late: str = "30 days") -> DataFrame:
     """Events (event_id, user_id, event_type, ts) that count: per user and type, none within ``seconds`` of the last one that
-    counted. Events without a user all count. The state is one number per key."""
-    keyed = events.where("user_id IS NOT NULL AND ts IS NOT NULL").select("event_id", "user_id", "event_type", "ts")
+    counted. Events without a user or time, and those more than ``late`` behind the newest, count for nothing. The state is
+    one number per key, dropped once the watermark is past its span."""
+    keyed = events.where("user_id IS NOT NULL AND ts IS NOT NULL").select("event_id", "user_id", "event_type", "ts").withWatermark("ts", late)
 
     def run(key, batches, state):
         yield from accept(key, batches, state, seconds)
 
-    kept = keyed.groupBy("user_id", "event_type").applyInPandasWithState(run, "event_id long, user_id long, event_type string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
-    out = drained(kept, "append").drop("batch")
-    return out
+    kept = keyed.groupBy("user_id", "event_type").applyInPandasWithState(run, "event_id long, user_id long, event_type string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return drained(kept, "append").drop("batch")
 
 
 def sliding_counts(events: DataFrame, days: int = 14, step: str = "1 day", late: str = "2 days") -> DataFrame:
