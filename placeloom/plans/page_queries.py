@@ -139,14 +139,37 @@ def m13(spark, d):
     return p.select("id", html.verdict(C("e"), C("name"), C("phone"), C("city"), F.lit("no number")).alias("verdict"))
 
 
-@query("x35_profiles", r"""
-WITH u AS (SELECT id, unnest(list_concat(coalesce(socials, []), coalesce(websites, []))) AS u FROM places),
-p AS (SELECT id, regexp_replace(lower(regexp_extract(u, '^https?://([^/?#:]+)', 1, 'i')), '^(www|m|mobile)\.', '') AS h, regexp_extract(u, '^https?://[^/?#]+/+([^/?#]+)', 1, 'i') AS f FROM u)
-SELECT DISTINCT id, 'https://' || h || '/' || f AS profile FROM p WHERE h IN ('facebook.com', 'instagram.com', 'x.com', 'twitter.com', 'tiktok.com') AND f <> '' AND lower(f) NOT IN ('share', 'sharer', 'intent', 'login', 'home', 'watch', 'explore', 'p', 'reel', 'hashtag', 'search', 'plugins', 'tr') AND NOT ends_with(f, '.php')""")
+_SOCIAL = """
+u AS (SELECT id, replace(unnest(coalesce(socials, [])), 'social.example', CASE length(id) % 2 + ascii(right(id, 1)) % 3 WHEN 0 THEN 'm.facebook.com' WHEN 1 THEN 'www.instagram.com' WHEN 2 THEN 'twitter.com/share' ELSE 'other.example' END) || '?hl=en' AS u FROM places),
+p AS (SELECT id, u, regexp_replace(lower(regexp_extract(u, '^https?://([^/?#:]+)', 1, 'i')), '^(www|m|mobile)\\.', '') AS h, regexp_extract(u, '^https?://[^/?#]+/+([^/?#]+)', 1, 'i') AS f FROM u)
+"""
+
+
+def social_urls(spark, d):
+    """Links of places on hosts of several sorts, some of them share links."""
+    k = F.length("id") % 2 + F.ascii(F.right("id", F.lit(1))) % 3
+    host = F.when(k == 0, "m.facebook.com").when(k == 1, "www.instagram.com").when(k == 2, "twitter.com/share").otherwise("other.example")
+    u = table(spark, d, "places").select("id", F.explode("socials").alias("u"), host.alias("host"))
+    return u.select("id", F.concat(F.replace("u", F.lit("social.example"), C("host")), F.lit("?hl=en")).alias("u"))
+
+
+@query("x35_profiles", f"WITH {_SOCIAL} SELECT DISTINCT id, 'https://' || h || '/' || f AS profile FROM p WHERE h IN ('facebook.com', 'instagram.com')")
 def x35(spark, d):
-    none = F.array().cast("array<string>")
-    urls = F.concat(F.coalesce("socials", none), F.coalesce("websites", none))
-    return table(spark, d, "places").select("id", F.explode(html.profiles_of(urls)).alias("profile")).where("NOT startswith(profile, 'https://youtube.com/')").distinct()
+    return social_urls(spark, d).groupBy("id").agg(F.collect_set("u").alias("us")).select("id", F.explode(html.profiles_of(C("us"))).alias("profile"))
+
+
+@query("d02_junk_socials", f"WITH {_SOCIAL} SELECT DISTINCT id, 'socials' AS field, 'no profile' AS reason, u AS detail FROM p WHERE h NOT IN ('facebook.com', 'instagram.com')")
+def d02(spark, d):
+    from placeloom.operators import quality
+
+    u = social_urls(spark, d)
+    return quality.findings(u.where(F.size(html.profiles_of(F.array("u"))) == 0), "socials", "no profile", C("u")).distinct()
+
+
+@query("y07_linked_objects", "SELECT id, name FROM restaurants WHERE is_active AND name IS NOT NULL AND slug IS NOT NULL")
+def y07(spark, d):
+    """Names in a page's linked data, which stands below @graph."""
+    return pages(spark, d).select("id", F.explode(html.page_evidence(C("page"))["names"]).alias("name"))
 
 
 @query("x36_robots", "SELECT slug, NOT (starts_with(slug, 'a') OR contains(slug, 'sushi')) OR slug = 'american' AS allowed FROM cuisines")
@@ -183,3 +206,32 @@ def s15(spark, d):
     g = broadcast_if_small(gazetteers.states(spark))
     p = table(spark, d, "places").select(F.upper(F.trim("region")).alias("code"))
     return p.join(g, "code").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("s02_partitioned_scan", "SELECT region, count(*) AS n, count(category) AS typed FROM places WHERE region IN ('UT', 'GA', 'TX') GROUP BY 1")
+def s02(spark, d):
+    # written by region, read with the other regions' folders left out
+    path = f"{shared_dir(spark).rstrip('/')}/by-region-{uuid.uuid4().hex}"
+    table(spark, d, "places").select("id", "category", "region").write.partitionBy("region").parquet(path)
+    return spark.read.parquet(path).where("region IN ('UT', 'GA', 'TX')").groupBy("region").agg(F.count("*").alias("n"), F.count("category").alias("typed"))
+
+
+@query("s14_json_lines", "SELECT event_type AS command, CAST(ts AS DATE) AS day, count(*) AS fires, max(event_id) AS last_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2")
+def s14(spark, d):
+    # a log of JSON lines with one folder for each day; days outside the window are not opened, broken lines are skipped
+    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    lines = e.select("day", F.explode(F.array(F.to_json(F.struct(C("event_type").alias("command"), "event_id")), F.lit("{broken"))).alias("value"))
+    lines.write.partitionBy("day").text(path)
+    log = spark.read.schema("command string, event_id long, day date").option("mode", "DROPMALFORMED").json(path)
+    return log.where("day >= DATE'2024-01-10' AND day < DATE'2024-01-15' AND command IS NOT NULL").groupBy("command", "day").agg(F.count("*").alias("fires"), F.max("event_id").alias("last_id"))
+
+
+@query("k10_written_files", "SELECT CAST(floor((row_number() OVER (ORDER BY popularity_score DESC, id) - 1) / 500) AS BIGINT) AS file, '<url><loc>/venues/' || slug || '</loc></url>' AS line FROM restaurants WHERE is_active AND slug IS NOT NULL")
+def k10(spark, d):
+    from placeloom.operators.relational import ranked
+
+    r = ranked(table(spark, d, "restaurants").where("is_active AND slug IS NOT NULL").select("id", "slug", "popularity_score"), "position", C("popularity_score").desc(), C("id"))
+    path = f"{shared_dir(spark).rstrip('/')}/urls-{uuid.uuid4().hex}"
+    r.select(F.floor((C("position") - 1) / 500).alias("file"), F.concat(F.lit("<url><loc>/venues/"), "slug", F.lit("</loc></url>")).alias("value")).write.partitionBy("file").text(path)
+    return spark.read.text(path).select(C("file").cast("long").alias("file"), C("value").alias("line"))

@@ -370,9 +370,9 @@ def w03(spark, d):
     return rel.first_per_key(r, F.lower(F.trim("name")), C("popularity_score").desc(), C("id")).select("id", "name")
 
 
-@query("w04_cascade", "WITH t AS (SELECT id, CASE WHEN lower(city) = 'nowhere at all' THEN 1 WHEN has_award AND photo_url IS NOT NULL THEN 2 ELSE 3 END AS tier FROM restaurants) SELECT id, tier FROM t WHERE tier = (SELECT min(tier) FROM t)")
+@query("w04_cascade", "WITH t AS (SELECT id, CASE WHEN lower(trim(city, ' ')) = 'fort belmaro' AND has_award THEN 1 WHEN has_award AND photo_url IS NOT NULL THEN 2 ELSE 3 END AS tier FROM restaurants) SELECT id, tier FROM t WHERE tier = (SELECT min(tier) FROM t)")
 def w04(spark, d):
-    tier = F.when(F.lower("city") == "nowhere at all", 1).when(C("has_award") & C("photo_url").isNotNull(), 2).otherwise(3)
+    tier = F.when((F.lower(F.trim("city")) == "fort belmaro") & C("has_award"), 1).when(C("has_award") & C("photo_url").isNotNull(), 2).otherwise(3)
     t = table(spark, d, "restaurants").select("id", tier.alias("tier"))
     return t.crossJoin(F.broadcast(t.agg(F.min("tier").alias("best")))).where("tier = best").select("id", "tier")
 

@@ -242,3 +242,172 @@ def t02(spark, d):
     from placeloom.streaming import engagement
 
     return engagement.accepted_events(engagement.stream(spark, f"{d}/events.parquet"), 3600.0).select("event_id", "user_id", "event_type")
+
+
+# smaller pieces of the inventory
+
+
+@query("k02_upsert_fresh", f"WITH b AS (SELECT group_id, id, fetched_at FROM live_venues WHERE fetched_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY) SELECT group_id, id, fetched_at FROM (SELECT DISTINCT *, rank() OVER (PARTITION BY group_id ORDER BY fetched_at DESC, id DESC) AS k FROM b) WHERE k = 1")
+def k02(spark, d):
+    """One entry for each key, the newest; entries older than the cache's lifetime count as absent."""
+    fresh = table(spark, d, "live_venues").where(C("fetched_at") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 90 DAYS"))
+    return fresh.groupBy("group_id").agg(F.max(F.struct("fetched_at", "id")).alias("b")).select("group_id", "b.id", "b.fetched_at")
+
+
+@query("o16_version_order", "WITH v AS (SELECT id % 7 AS g, '1.' || CAST(id % 12 AS VARCHAR) || '.' || CAST(id % 5 AS VARCHAR) AS version FROM restaurants) SELECT g, arg_max(version, list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER))) AS version FROM v GROUP BY 1")
+def o16(spark, d):
+    """Versions such as 1.10 and 1.9, of which the first is the greater."""
+    v = table(spark, d, "restaurants").select((C("id") % 7).alias("g"), F.concat(F.lit("1."), (C("id") % 12).cast("string"), F.lit("."), (C("id") % 5).cast("string")).alias("version"))
+    return v.groupBy("g").agg(F.max_by("version", F.transform(F.split("version", "[.]"), lambda x: x.cast("int"))).alias("version"))
+
+
+@query("x25_json_attempts", "SELECT id, strftime(greatest(created_at, updated_at), '%Y-%m-%d %H:%M:%S') AS last_attempt FROM restaurants")
+def x25(spark, d):
+    """The later of two times that stand in a JSON document, either of which may be missing."""
+    j = table(spark, d, "restaurants").select("id", F.to_json(F.struct(F.struct(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("at")).alias("photo"), F.struct(F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("at")).alias("site"))).alias("j"))
+    at = lambda k: F.get_json_object("j", f"$.{k}.at").try_cast("timestamp")
+    return j.select("id", F.date_format(F.greatest(at("photo"), at("site")), "yyyy-MM-dd HH:mm:ss").alias("last_attempt"))
+
+
+@query("x27_fine_boxes", "SELECT zip, round(radius_km / 111.32, 6) AS d_lat, round(radius_km / (111.32 * cos(radians(lat))), 6) AS d_lng FROM zip_centroids")
+def x27(spark, d):
+    return table(spark, d, "zip_centroids").select("zip", F.round(C("radius_km") / 111.32, 6).alias("d_lat"), F.round(C("radius_km") / (111.32 * F.cos(F.radians("lat"))), 6).alias("d_lng"))
+
+
+@query("x21_street_number", r"SELECT doc_id, coalesce(regexp_matches(text, '\b\d{1,5}[A-Za-z]?\s+(\w+\s+){0,3}?(street|st|avenue|ave|road|rd|lane|ln|drive|dr)\b', 'i'), false) AS has_address FROM documents")
+def x21(spark, d):
+    p = r"(?i)\b[0-9]{1,5}[A-Za-z]?\s+([0-9A-Za-z_]+\s+){0,3}?(street|st|avenue|ave|road|rd|lane|ln|drive|dr)\b"
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.rlike("text", F.lit(p)), F.lit(False)).alias("has_address"))
+
+
+@query("r08_flags", "SELECT id, CASE WHEN has_award THEN 1.0 ELSE 0.0 END AS award, round(greatest(0.0, least(1.0, CAST(overture_confidence AS DOUBLE))), 6) AS confidence FROM restaurants WHERE overture_confidence IS NOT NULL")
+def r08(spark, d):
+    from placeloom.operators.scoring import clamp
+
+    return table(spark, d, "restaurants").where("overture_confidence IS NOT NULL").select("id", F.when(C("has_award"), 1.0).otherwise(0.0).alias("award"), F.round(clamp(C("overture_confidence").cast("double")), 6).alias("confidence"))
+
+
+@query("r12_neutral_proximity", f"SELECT id, CASE WHEN latitude <> 0 AND longitude <> 0 THEN round(1 / (1 + {km_sql('43.0', '-114.1', 'CAST(latitude AS DOUBLE)', 'CAST(longitude AS DOUBLE)')} / 2.0), 6) ELSE 0.5 END AS proximity FROM restaurants")
+def r12(spark, d):
+    """Rows without known coordinates are neither near nor far."""
+    far = geo.haversine_asin_km(F.lit(43.0), F.lit(-114.1), C("latitude").cast("double"), C("longitude").cast("double"))
+    return table(spark, d, "restaurants").select("id", F.when(geo.known(C("latitude"), C("longitude")), F.round(1 / (1 + far / 2.0), 6)).otherwise(0.5).alias("proximity"))
+
+
+@query("u07_distinct_venues", "SELECT n, y, x, min(ord) AS ord FROM (SELECT lower(trim(name, ' ')) AS n, CAST(floor(lat * 10000) AS BIGINT) AS y, CAST(floor(lng * 10000) AS BIGINT) AS x, ord FROM live_venues WHERE name IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL) GROUP BY 1, 2, 3")
+def u07(spark, d):
+    """One entry for each name and rounded position, the first in source order."""
+    v = table(spark, d, "live_venues").where("name IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL")
+    return v.groupBy(F.lower(F.trim("name")).alias("n"), F.floor(C("lat") * 10000).alias("y"), F.floor(C("lng") * 10000).alias("x")).agg(F.min("ord").alias("ord"))
+
+
+@query("y02_json_paths", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing.deep') AS none FROM events")
+def y02(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing.deep").alias("none"))
+
+
+@query("y04_distinct_of_structs", "SELECT id, array_to_string(list_sort(list_distinct(coalesce(datasets, []))), ',') AS sources FROM places")
+def y04(spark, d):
+    from placeloom.sources.places import nested
+
+    n = nested(table(spark, d, "places"))
+    return n.select("id", F.array_join(F.array_sort(F.array_distinct(F.transform("sources", lambda x: x["dataset"]))), ",").alias("sources"))
+
+
+@query("y03_tolerant_decode", "SELECT id, len(coalesce(datasets, [])) AS n FROM places")
+def y03(spark, d):
+    """A list, one object instead of a list, or broken text: the first two count, the last is empty."""
+    k = F.size(F.coalesce("datasets", F.array().cast("array<string>")))
+    text_ = F.when(k == 0, "{broken").when(k == 1, F.to_json(F.struct(C("datasets")[0].alias("x")))).otherwise(F.to_json(F.transform("datasets", lambda x: F.struct(x.alias("x")))))
+    p = table(spark, d, "places").select("id", text_.alias("t"))
+    many, one = F.from_json("t", "array<struct<x:string>>"), F.get_json_object("t", "$.x")
+    return p.select("id", F.when(F.left("t", F.lit(1)) == "[", F.size(many)).when(one.isNotNull(), 1).otherwise(0).cast("long").alias("n"))
+
+
+@query("j13_cluster_members", f"WITH c AS (SELECT CAST(floor(lat / 0.2) AS BIGINT) AS cy, CAST(floor(lng / 0.2) AS BIGINT) AS cx, avg(lat) AS y, avg(lng) AS x FROM places WHERE lat <> 0 AND lng <> 0 GROUP BY 1, 2) SELECT p.id, round({km_sql('c.y', 'c.x', 'p.lat', 'p.lng')}, 4) AS km FROM places p JOIN c ON c.cy = floor(p.lat / 0.2) AND c.cx = floor(p.lng / 0.2) WHERE p.lat <> 0 AND p.lng <> 0")
+def j13(spark, d):
+    y, x = geo.cell(C("lat"), C("lng"), 0.2)
+    p = table(spark, d, "places").where("lat <> 0 AND lng <> 0").select("id", "lat", "lng", y.alias("cy"), x.alias("cx"))
+    c = p.groupBy("cy", "cx").agg(F.avg("lat").alias("y"), F.avg("lng").alias("x"))
+    return p.join(c, ["cy", "cx"]).select("id", F.round(geo.haversine_asin_km(C("y"), C("x"), C("lat"), C("lng")), 4).alias("km"))
+
+
+@query("j14_nearest_of_city", f"""
+WITH g AS (SELECT lower(trim(city, ' ')) AS ck, upper(trim(region, ' ')) AS st, round(lat, 1) AS y, round(lng, 1) AS x FROM places WHERE lat <> 0 AND lng <> 0 GROUP BY ALL),
+j AS (SELECT r.id, min({km_sql('g.y', 'g.x', 'CAST(r.latitude AS DOUBLE)', 'CAST(r.longitude AS DOUBLE)')}) AS km FROM restaurants r JOIN g ON g.ck = lower(trim(r.city, ' ')) AND g.st = upper(trim(r.state, ' ')) WHERE r.latitude <> 0 AND r.longitude <> 0 GROUP BY 1)
+SELECT id, km > 50 AS far FROM j""")
+def j14(spark, d):
+    """The nearest known point of a row's city and state; far where even that is beyond 50 km. Points are cells of a tenth of a degree."""
+    g = table(spark, d, "places").where("lat <> 0 AND lng <> 0").select(F.lower(F.trim("city")).alias("ck"), F.upper(F.trim("region")).alias("st"), F.round("lat", 1).alias("y"), F.round("lng", 1).alias("x")).distinct()
+    r = table(spark, d, "restaurants").where("latitude <> 0 AND longitude <> 0").select("id", F.lower(F.trim("city")).alias("ck"), F.upper(F.trim("state")).alias("st"), C("latitude").cast("double").alias("lat"), C("longitude").cast("double").alias("lng"))
+    return r.join(g, ["ck", "st"]).groupBy("id").agg((F.min(geo.haversine_asin_km(C("y"), C("x"), C("lat"), C("lng"))) > 50).alias("far"))
+
+
+@query("d08_corrected_codes", f"""
+WITH r AS (SELECT id, postal_code, substr(postal_code, 1, 5) AS z, regexp_extract(address, '(\\d{{5}})(-\\d{{4}})?$', 1) AS a, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lng FROM restaurants WHERE latitude <> 0 AND longitude <> 0)
+SELECT r.id, CASE WHEN {km_sql('z.lat', 'z.lng', 'r.lat', 'r.lng')} <= 50 THEN r.postal_code WHEN w.zip IS NOT NULL AND {km_sql('w.lat', 'w.lng', 'r.lat', 'r.lng')} <= 50 THEN r.a END AS postal_code FROM r JOIN zip_centroids z ON z.zip = r.z LEFT JOIN zip_centroids w ON w.zip = r.a""")
+def d08(spark, d):
+    """The code that stays: the row's own near its pin, else the address's near the pin, else none."""
+    z = table(spark, d, "zip_centroids")
+    side = lambda k, p: broadcast_if_small(z.select(C("zip").alias(k), C("lat").alias(f"{p}_lat"), C("lng").alias(f"{p}_lng")))
+    r = table(spark, d, "restaurants").where("latitude <> 0 AND longitude <> 0").select("id", "postal_code", F.substring("postal_code", 1, 5).alias("z"), F.regexp_extract("address", r"(\d{5})(-\d{4})?$", 1).alias("a"), C("latitude").cast("double").alias("lat"), C("longitude").cast("double").alias("lng"))
+    near = lambda p: geo.haversine_asin_km(C(f"{p}_lat"), C(f"{p}_lng"), C("lat"), C("lng")) <= 50
+    return r.join(side("z", "o"), "z").join(side("a", "w"), "a", "left").select("id", F.when(near("o"), C("postal_code")).when(C("w_lat").isNotNull() & near("w"), C("a")).alias("postal_code"))
+
+
+@query("d10_guessed_fields", "SELECT id, f AS field, 'guessed' AS reason, field_sources[f] AS detail FROM (SELECT id, field_sources, unnest(map_keys(field_sources)) AS f FROM restaurants) WHERE split_part(field_sources[f], ':', 1) IN ('photon', 'serpapi')")
+def d10(spark, d):
+    """Fields whose note says that they come from a source that guesses."""
+    f = table(spark, d, "restaurants").select("id", F.explode("field_sources").alias("field", "detail"))
+    return f.where(F.split_part("detail", F.lit(":"), F.lit(1)).isin("photon", "serpapi")).select("id", "field", F.lit("guessed").alias("reason"), "detail")
+
+
+@query("m17_united_notes", f"WITH RECURSIVE {_PASSES} SELECT coalesce(m.keep, r.id) AS id, string_agg(DISTINCT f, ',' ORDER BY f) AS fields FROM (SELECT id, unnest(map_keys(field_sources)) AS f FROM restaurants) r LEFT JOIN mapping m ON m.dupe = r.id GROUP BY 1")
+def m17(spark, d):
+    """The fields that any of a venue's merged rows notes a source for, each once."""
+    f = table(spark, d, "restaurants").select("id", F.explode(F.map_keys("field_sources")).alias("f"))
+    m = mapping(spark, d).select(C("dupe").alias("id"), "keep")
+    return f.join(m, "id", "left").groupBy(F.coalesce("keep", "id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("fields"))
+
+
+@query("m12_directory_applied", f"""
+WITH r AS ({_V}), q AS (SELECT id AS place_id, lower(trim(name, ' ')) AS n, list_filter(list_transform(coalesce(phones, []), lambda x: CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) >= 10 THEN right(regexp_replace(x, '[^0-9]', '', 'g'), 10) END), lambda x: x IS NOT NULL) AS ps, lat, lng FROM places WHERE lat <> 0 AND lng <> 0),
+j AS (SELECT r.id, q.place_id, coalesce(list_contains(q.ps, r.p), false) AS by_phone, abs(r.lat - q.lat) + abs(r.lng - q.lng) AS l1 FROM r JOIN q ON abs(r.lat - q.lat) < 0.01 AND {km_sql('r.lat', 'r.lng', 'q.lat', 'q.lng')} <= 0.2 AND (coalesce(list_contains(q.ps, r.p), false) OR (r.n = q.n AND r.n <> ''))),
+b AS (SELECT id, place_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY by_phone DESC, l1, place_id) AS k FROM j) WHERE k = 1),
+t AS (SELECT r.id, r.address, r.website_url, p.street, p.websites[1] AS site, p.operating_status, p.datasets, r.field_sources FROM restaurants r JOIN b USING (id) JOIN places p ON p.id = b.place_id),
+u AS (SELECT *, trim(coalesce(address, ''), ' ') = '' AND trim(coalesce(street, ''), ' ') <> '' AS fa, trim(coalesce(website_url, ''), ' ') = '' AND trim(coalesce(site, ''), ' ') <> '' AS fw FROM t)
+SELECT id, CASE WHEN fa THEN street ELSE address END AS address, CASE WHEN fw THEN site ELSE website_url END AS website_url, coalesce(operating_status = 'closed', false) AS closed, len(list_distinct(coalesce(datasets, []))) AS sources,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(map_keys(field_sources), []), CASE WHEN fa THEN ['address'] ELSE [] END, CASE WHEN fw THEN ['website_url'] ELSE [] END))), ',') AS noted FROM u""")
+def m12(spark, d):
+    """A place applied to the row it matches: blanks filled and noted, closure, and how many datasets corroborate it."""
+    from placeloom.plans.venue_queries import venue_pairs
+
+    r, p = venue_pairs(spark, d)
+    b = matching.nearest_match(r, p, percent=100.0).select("id", "place_id")
+    pl = table(spark, d, "places").select(C("id").alias("place_id"), C("street").alias("address"), F.get("websites", 0).alias("website_url"), "operating_status", "datasets")
+    inc = b.join(pl, "place_id")
+    kept = table(spark, d, "restaurants").select("id", "address", "website_url", "field_sources").join(b.select("id"), "id", "left_semi")
+    f = integration.filled_from(kept, inc.select("id", "address", "website_url"), "id", ["address", "website_url"], F.lit("directory"))
+    return f.join(inc.select("id", "operating_status", "datasets"), "id").select("id", "address", "website_url", F.coalesce(C("operating_status") == "closed", F.lit(False)).alias("closed"), F.size(F.array_distinct(F.coalesce("datasets", F.array().cast("array<string>")))).cast("long").alias("sources"), F.array_join(F.array_sort(F.map_keys("field_sources")), ",").alias("noted"))
+
+
+@query("m15_ingested", f"""
+WITH v0 AS (SELECT DISTINCT id, name, phone, city, google_rating, google_review_count FROM live_venues),
+v AS (SELECT id, name, CAST(google_rating AS DOUBLE) AS rating, google_review_count AS n, CASE WHEN {P10} IS NOT NULL AND city IS NOT NULL THEN {P10} || '|' || lower(trim(city, ' ')) END AS k FROM v0 WHERE trim(coalesce(name, ''), ' ') <> '' AND NOT regexp_matches(trim(name, ' '), '^\d+$') AND lower(trim(name, ' ')) NOT IN ('diner', 'restaurant', 'cafe', 'food', 'bar', 'grill') AND NOT regexp_matches(lower(name), '\b(salon|barber|church|gym|clinic|bank|parking)\b')),
+a AS (SELECT * FROM v WHERE k IS NULL OR id = (SELECT max(w.id) FROM v w WHERE w.k = v.k)),
+s AS (SELECT {P10} || '|' || lower(trim(city, ' ')) AS k, min(id) AS stored FROM restaurants WHERE {P10} IS NOT NULL AND city IS NOT NULL GROUP BY 1),
+m AS (SELECT coalesce(avg(rating) FILTER (WHERE rating > 0 AND n >= 50), 4.0) AS c FROM a)
+SELECT a.id, s.stored, CASE WHEN s.stored IS NULL THEN 'insert' ELSE 'update' END AS action, round(CASE WHEN rating > 0 THEN greatest(0.0, least(1.0, (coalesce(n, 0) / (coalesce(n, 0) + 50.0) * rating + 50 / (coalesce(n, 0) + 50.0) * c) / 5)) END, 6) AS quality FROM a CROSS JOIN m LEFT JOIN s USING (k)""")
+def m15(spark, d):
+    """Live records taken in: real names of eating places, one record for each phone and city (the first by id), the row each
+    goes to, and its quality against the mean of just this batch."""
+    n = F.trim("name")
+    bad = (n == "") | n.rlike(r"^\d+$") | F.lower(n).isin("diner", "restaurant", "cafe", "food", "bar", "grill") | F.lower("name").rlike(r"\b(salon|barber|church|gym|clinic|bank|parking)\b")
+    key = lambda: F.when(text.last_ten_digits(C("phone")).isNotNull() & C("city").isNotNull(), F.concat_ws("|", text.last_ten_digits(C("phone")), F.lower(F.trim("city"))))
+    v = table(spark, d, "live_venues").select("id", "name", C("google_rating").cast("double").alias("rating"), C("google_review_count").alias("n"), key().alias("k")).where(F.coalesce(~bad, F.lit(False))).distinct()
+    first = v.groupBy(F.coalesce("k", F.concat(F.lit("#"), C("id").cast("string"))).alias("kk")).agg(F.max_by(F.struct("id", "rating", "n", "k"), "id").alias("b")).select("b.*")
+    stored = table(spark, d, "restaurants").select("id", key().alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("stored"))
+    mean = F.broadcast(first.agg(F.coalesce(F.avg(F.when((C("rating") > 0) & (C("n") >= 50), C("rating"))), F.lit(4.0)).alias("c")))
+    count = F.coalesce("n", F.lit(0)).cast("double")
+    quality_ = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (count / (count + 50) * C("rating") + 50 / (count + 50) * C("c")) / 5))
+    return first.crossJoin(mean).join(stored, "k", "left").select("id", "stored", F.when(C("stored").isNull(), "insert").otherwise("update").alias("action"), F.round(F.when(C("rating") > 0, quality_), 6).alias("quality"))

@@ -236,6 +236,24 @@ def m09(spark, d):
     return relevance.audited_tags(t, LEXICON)
 
 
+_SAYS = {k: f"regexp_matches(lower(concat_ws(' ', name, description)), '\\b({'|'.join(v)})')" for k, v in LEXICON.items()}
+_OWN = "CASE slug " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SAYS.items()) + " ELSE true END"
+_RIVAL = " OR ".join(f"(slug <> '{k}' AND {v})" for k, v in _SAYS.items())
+
+
+@query("m09_contradicted_tags", f"WITH g AS (SELECT DISTINCT r.id, c.slug, r.name, r.description FROM cuisine_restaurant x JOIN cuisines c ON c.id = x.cuisine_id JOIN restaurants r ON r.id = x.restaurant_id) SELECT id, slug FROM g WHERE NOT ({_OWN}) AND ({_RIVAL})")
+def m09c(spark, d):
+    """Tags that no word of the venue speaks for while words of another cuisine stand there."""
+    r = table(spark, d, "restaurants").select(C("id").alias("restaurant_id"), F.lower(F.concat_ws(" ", "name", "description")).alias("t"))
+    g = tagged_venues(spark, d).join(r, "restaurant_id")
+    says = {k: C("t").rlike(r"\b(" + "|".join(v) + ")") for k, v in LEXICON.items()}
+    own, rival = F.lit(True), F.lit(False)
+    for k, hit in says.items():
+        own = F.when(C("slug") == k, hit).otherwise(own)
+        rival = rival | ((C("slug") != k) & hit)
+    return g.where(~own & rival).select(C("restaurant_id").alias("id"), "slug").distinct()
+
+
 # quality
 
 
