@@ -391,7 +391,7 @@ def m12(spark, d):
     return f.join(inc.select("id", "operating_status", "datasets"), "id").select("id", "address", "website_url", F.coalesce(C("operating_status") == "closed", F.lit(False)).alias("closed"), F.size(F.array_distinct(F.coalesce("datasets", F.array().cast("array<string>")))).cast("long").alias("sources"), F.array_join(F.array_sort(F.map_keys("field_sources")), ",").alias("noted"))
 
 
-@query("m15_ingested", f"""
+@query("m15_ingested", rf"""
 WITH v0 AS (SELECT DISTINCT id, name, phone, city, google_rating, google_review_count FROM live_venues),
 v AS (SELECT id, name, CAST(google_rating AS DOUBLE) AS rating, google_review_count AS n, CASE WHEN {P10} IS NOT NULL AND city IS NOT NULL THEN {P10} || '|' || lower(trim(city, ' ')) END AS k FROM v0 WHERE trim(coalesce(name, ''), ' ') <> '' AND NOT regexp_matches(trim(name, ' '), '^\d+$') AND lower(trim(name, ' ')) NOT IN ('diner', 'restaurant', 'cafe', 'food', 'bar', 'grill') AND NOT regexp_matches(lower(name), '\b(salon|barber|church|gym|clinic|bank|parking)\b')),
 a AS (SELECT * FROM v WHERE k IS NULL OR id = (SELECT max(w.id) FROM v w WHERE w.k = v.k)),
