@@ -20,11 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.llm.addresses import canonical, edits, fold, parsed, words_of
-from placeloom.session import discard, materialize
+from placeloom.session import discard, materialize, tidy
 
 # Words that say what sort of venue it is, legal forms, and stand-ins for names.
 KINDS = (
@@ -103,7 +103,10 @@ def name_likeness(core_a: str, kinds_a: str, core_b: str, kinds_b: str) -> float
 
 
 def profile(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profiles, members): distinct records without their ids, and the rows behind each."""
+    """(profiles, members): distinct records without their ids, numbered, and the rows behind each, once.
+
+    ``multi`` says of a member that its id stands behind several profiles.
+    """
     spark = records.sparkSession
     # one Python pass reads address and name together
     parts, at = materialize(parsed(records, "rid", "address", "city_text", "state_text", "postal", "src", "phones", "lat", "lng", extra=("name", ["core", "kinds"], name_parts)), "records")
@@ -114,11 +117,44 @@ def profile(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     spot = F.when(F.col("location").isNull(), F.concat_ws(",", F.round("lat", 3), F.round("lng", 3)))
     key = F.unhex(F.md5(F.concat_ws("\x1f", "src", F.coalesce("location", F.lit("")), "core", "kinds", "city", "zip", F.array_join("phones", ","), F.coalesce(spot, F.lit("")))))
     kept = ("src", "location", "number", "street", "direction", "type", "unit", "city", "zip", "core", "kinds", "phones")
-    rows, _ = materialize(full.select(key.alias("pid"), "row_id", *kept, "lat", "lng"), "profiled")
+    rows, rows_at = materialize(full.select(key.alias("key"), "row_id", *kept, "lat", "lng"), "profiled")
     for path in stages:
         discard(spark, path)
-    profiles, _ = materialize(rows.groupBy("pid").agg(*[F.first(c).alias(c) for c in kept], F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), "profiles")
-    return profiles, rows.select("pid", "src", F.col("row_id").alias("rid"))
+    # pairs carry numbers, which take a fraction of the room of keys
+    numbered = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in kept], F.avg("lat").alias("lat"), F.avg("lng").alias("lng")).withColumn("pid", F.monotonically_increasing_id())
+    profiles, _ = materialize(numbered, "profiles")
+    member = rows.select("key", "src", F.col("row_id").alias("rid")).join(profiles.select("key", "pid"), "key").select("pid", "src", "rid").distinct()
+    members, _ = materialize(member.withColumn("multi", F.count("*").over(Window.partitionBy("src", "rid")) > 1), "members")
+    discard(spark, rows_at)
+    return profiles.drop("key"), members
+
+
+def name_keys(core: Column) -> tuple[Column, Column]:
+    """(asked, kept): keys that two names share, one's asked and the other's kept, if like words cover seven tenths of their letters.
+
+    Such names have two like words, or one that is most of either name and half of the other. A word stands in a key by
+    its start or its end, of which a letter lost, added, changed or swapped leaves one whole.
+    """
+    none = F.array().cast("array<string>")
+    words = F.when(core != "", F.split(core, " ")).otherwise(none)
+    ends = lambda w, tag, n: F.array(F.concat(F.lit(f"{tag}<"), F.left(w, F.lit(n))), F.concat(F.lit(f"{tag}>"), F.right(w, F.lit(n))))
+
+    def parts(w: Column) -> Column:
+        n = F.length(w)
+        some = lambda at, tag, k: F.when(at, ends(w, tag, k)).otherwise(none)
+        return F.concat(some(n <= 4, "a", 1), some((n >= 4) & (n <= 6), "b", 2), some(n >= 6, "c", 3), some(n >= 8, "d", 2))
+
+    def both(v: Column, w: Column) -> Column:
+        return F.flatten(F.transform(parts(v), lambda x: F.transform(parts(w), lambda y: F.concat_ws(" ", F.least(x, y), F.greatest(x, y)))))
+
+    twos = F.flatten(F.flatten(F.transform(words, lambda v, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda w: both(v, w)).cast("array<array<string>>"))))
+    total = F.length(F.regexp_replace(core, " ", ""))
+
+    def ones(most: Sequence[str], half: Sequence[str]) -> Column:
+        tagged = lambda w, tags: F.flatten(F.array(*[F.transform(parts(w), lambda x: F.concat(F.lit(t), x)) for t in tags]))  # noqa: B023, E731
+        return F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= 0.65 * total, tagged(w, most)).when(F.length(w) >= 0.45 * total, tagged(w, half)).otherwise(none)))
+
+    return F.concat(twos, ones(["mm", "mh"], ["hm"])), F.concat(twos, ones(["mm", "hm"], ["mh"]))
 
 
 def candidates(p: DataFrame) -> DataFrame:
@@ -126,7 +162,7 @@ def candidates(p: DataFrame) -> DataFrame:
 
     Located records meet in one city, house number and street if they share the first or last three
     letters of a word of the name (one typo leaves one of them) or a phone; a record that lacks an
-    address meets others that share such letters and the digits of the ZIP in any order (the city where
+    address meets others that share a key of :func:`name_keys` and the digits of the ZIP in any order (the city where
     either has no ZIP), name and city, or phone and city.
     """
     tokens = F.when(F.col("core") != "", F.split("core", " ")).otherwise(F.array().cast("array<string>"))
@@ -137,16 +173,22 @@ def candidates(p: DataFrame) -> DataFrame:
     hashed = lambda keys: F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("k")
     at = p.where("location IS NOT NULL").select("pid", hashed(F.transform(ends, lambda e: F.concat(block, F.lit("|"), e))))
     digits = F.array_join(F.array_sort(F.split("zip", "")), "")
-    in_zip = F.when(F.col("zip") != "", F.transform(letters, lambda e: F.concat_ws("|", F.lit("z"), e, digits))).otherwise(none)
-    in_city = lambda kind: F.when(F.col("city") != "", F.transform(letters, lambda e: F.concat_ws("|", F.lit(kind), e, "city"))).otherwise(none)
+    asked, held = name_keys(F.col("core"))
+    p = p.select("pid", "location", "core", "city", "zip", "phones", digits.alias("digits"), asked.alias("asked"), held.alias("held"))
+    in_zip = lambda keys: F.when(F.col("zip") != "", F.transform(keys, lambda e: F.concat_ws("|", F.lit("z"), e, F.col("digits")))).otherwise(none)
+    in_city = lambda keys, kind: F.when(F.col("city") != "", F.transform(keys, lambda e: F.concat_ws("|", F.lit(kind), e, F.col("city")))).otherwise(none)
     name = F.when((F.col("core") != "") & (F.col("city") != ""), F.array(F.concat_ws("|", F.lit("c"), "core", "city"))).otherwise(none)
-    shared = F.concat(in_zip, name, F.transform("phones", lambda x: F.concat_ws("|", F.lit("p"), x, F.col("city"))))
-    located = F.col("location").isNotNull().alias("located")
-    # letters and city: a record without ZIP meets all, one with ZIP those without
-    every = p.select(F.col("pid").alias("y"), located, hashed(F.concat(shared, in_city("e"), F.when(F.col("zip") == "", in_city("u")).otherwise(none))))
-    lost = p.where("location IS NULL").select(F.col("pid").alias("x"), hashed(F.concat(shared, F.when(F.col("zip") == "", in_city("e")).otherwise(in_city("u")))))
+    shared = F.concat(name, F.transform("phones", lambda x: F.concat_ws("|", F.lit("p"), x, F.col("city"))))
+    # name and city: a record without ZIP meets all, one with ZIP those without
+    every = p.select(F.col("pid").alias("y"), hashed(F.concat(shared, in_zip("held"), in_city("held", "e"), F.when(F.col("zip") == "", in_city("held", "u")).otherwise(none))))
+    lost = p.where("location IS NULL").select(F.col("pid").alias("x"), hashed(F.concat(shared, in_zip("asked"), F.when(F.col("zip") == "", in_city("asked", "e")).otherwise(in_city("asked", "u")))))
     near = at.withColumnRenamed("pid", "pa").join(at.withColumnRenamed("pid", "pb"), "k").where("pa < pb").select("pa", "pb")
-    far = lost.join(every, "k").where("x <> y AND (located OR x < y)").select(F.least("x", "y").alias("pa"), F.greatest("x", "y").alias("pb"))
+    # keys that no lost record asks for are dropped before any is sent: a bitmap of 2^26 bits, at most 2^20 rows
+    slot, bit = F.expr("pmod(shiftrightunsigned(k, 6), 1048576)").alias("slot"), F.expr("shiftleft(1L, CAST(k & 63 AS INT))")
+    wanted = lost.groupBy(slot).agg(F.bit_or(bit).alias("bits"))
+    every = every.select("y", "k", slot).join(F.broadcast(wanted), "slot").where(F.col("bits").bitwiseAND(bit) != 0).select("y", "k")
+    # two lost records meet by either's keys
+    far = lost.join(every, "k").where("x <> y").select(F.least("x", "y").alias("pa"), F.greatest("x", "y").alias("pb"))
     return near.unionByName(far).distinct()
 
 
@@ -309,11 +351,15 @@ def match(records: DataFrame, rounds: int = 3, inner: int = 25, least: float = 0
     digits, sorted, distinct), lat, lng. Rows without id match nothing; repeated rows are kept as one pair. Any
     other column may be null. Pairs that share no block and are no third side of strong links have no row: their posterior counts as 0.
     """
+    spark = records.sparkSession
     profiles, members = profile(records.where("rid IS NOT NULL"))
-    blocked, _ = materialize(vectors(candidates(profiles), profiles), "vectors")
+    met, met_at = materialize(candidates(profiles), "candidates")
+    blocked, _ = materialize(vectors(met, profiles), "vectors")
+    discard(spark, met_at)
     pairs = closed(blocked, profiles)
     # at most one row per vector: 22 x 7 x 5 x 4 x 6, whatever the number of pairs
-    hist = pairs.groupBy("v").count().toPandas().sort_values("v")
+    with tidy(spark):
+        hist = pairs.groupBy("v").count().toPandas().sort_values("v")
     if hist.empty:
         return members.select(F.col("rid").alias("left_id"), F.col("rid").alias("right_id"), F.lit(0.0).alias("posterior")).limit(0)
     codes, weight = hist["v"].to_numpy(), hist["count"].to_numpy(float)
@@ -325,15 +371,22 @@ def match(records: DataFrame, rounds: int = 3, inner: int = 25, least: float = 0
         gamma = mix.posterior()
         if r < rounds - 1:
             # maximise from the corrected responsibilities of all pairs: the vector's own, moved by what triangles ask
-            asked = repairs(weighed(pairs, codes, gamma).withColumn("low", F.lit(False)))
-            moves = asked.groupBy("v").agg(F.sum(F.coalesce("up", "down") - F.col("g")).alias("d")).toPandas()
+            with tidy(spark):
+                asked = repairs(weighed(pairs, codes, gamma).withColumn("low", F.lit(False)))
+                moves = asked.groupBy("v").agg(F.sum(F.coalesce("up", "down") - F.col("g")).alias("d")).toPandas()
             shift = np.zeros(len(codes))
             shift[np.searchsorted(codes, moves["v"].to_numpy())] = moves["d"].to_numpy(float)
             mix.fit(np.clip(gamma + shift / weight, 0.0, 1.0))
     scored = settled(weighed(pairs, codes, mix.posterior()))
     cross = scored.where((F.col("side") > 0) & (F.col("gamma") >= least)).select(F.when(F.col("side") == 1, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(F.col("side") == 1, F.col("b")).otherwise(F.col("a")).alias("r"), F.col("gamma").alias("posterior"))
-    left, right = members.where("src = 'l'").select(F.col("pid").alias("l"), F.col("rid").alias("left_id")), members.where("src = 'r'").select(F.col("pid").alias("r"), F.col("rid").alias("right_id"))
-    return cross.join(left, "l").join(right, "r").groupBy("left_id", "right_id").agg(F.max("posterior").alias("posterior"))
+    end = lambda s: members.where(F.col("src") == s).select(F.col("pid").alias(s), F.col("rid").alias(f"{s}_id"), F.col("multi").alias(f"{s}_multi"))
+    found = cross.join(end("l"), "l").join(end("r"), "r").withColumnsRenamed({"l_id": "left_id", "r_id": "right_id"})
+    # only ids behind several profiles can bring a pair twice; all other pairs are never sorted or sent
+    twice = F.col("l_multi") | F.col("r_multi")
+    once = found.where(~twice).select("left_id", "right_id", "posterior")
+    if members.where("multi").isEmpty():
+        return once
+    return once.unionByName(found.where(twice).groupBy("left_id", "right_id").agg(F.max("posterior").alias("posterior")))
 
 
 def last_ten(phone: Column) -> Column:

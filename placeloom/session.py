@@ -7,6 +7,8 @@ import os
 import re
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,12 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go as soon as the query that wrote them has ended, not when the driver next collects its
+    garbage. For tables that are built and used up within it only: a second use would have to make its files again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends, nothing is recomputed
     and the copy outlives any executor. Returns the table and its path for :func:`discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

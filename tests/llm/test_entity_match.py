@@ -87,3 +87,35 @@ def test_repairs_go_on_until_stable(spark):
     chain = [("a", "b", 0.99), ("b", "c", 0.99), ("c", "d", 0.99), ("a", "c", 0.6), ("b", "d", 0.6), ("a", "d", 0.5)]
     got = {(r.a, r.b): r.gamma for r in em.settled(spark.createDataFrame(chain, "a string, b string, gamma double").selectExpr("*", "7 AS v")).collect()}
     assert abs(got["a", "d"] - 0.99**3) < 1e-6 and len(got) == 6
+
+
+def test_like_names_share_a_key_and_single_words_do_not(spark):
+    rng = random.Random(11)
+    words = ["oak", "blue", "crane", "humble", "lantern", "smokehill", "brunnick", "otter", "iron", "meridian"]
+
+    def typo(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]])
+
+    names = []
+    for _ in range(300):
+        a = rng.sample(words, rng.choice([1, 2, 2, 3]))
+        b = [typo(w) if rng.random() < 0.4 else w for w in a] + rng.sample(words, rng.choice([0, 0, 1]))
+        names.append((" ".join(sorted(a)), " ".join(sorted(b[: rng.choice([len(b), 3])]))))
+    pairs = spark.createDataFrame(names, "a string, b string")
+    asked, held = em.name_keys(F.col("a"))[0], em.name_keys(F.col("b"))[1]
+    for r in pairs.select("a", "b", F.arrays_overlap(asked, held).alias("met")).collect():
+        assert r.met or em.name_likeness(r.a, "", r.b, "") < 0.7, r
+    # one common word of two, as a thousand venues of a ZIP may have, is no candidate
+    row = lambda i, core, at: (i, at, "port calder", "1", "oak", core, "30412", [])
+    rows = [row("a", "comet humble", None), *[row(f"b{i}", f"comet {w}", f"x{i}") for i, w in enumerate(["lotus", "velvet", "anchor"])]]
+    p = spark.createDataFrame(rows, "pid string, location string, city string, number string, street string, core string, zip string, phones array<string>")
+    assert not [r for r in em.candidates(p).collect() if "a" in (r.pa, r.pb)]
+
+
+def test_ids_behind_several_profiles_give_a_pair_once(spark):
+    left, right, n = tables(spark)
+    again = left.where("id < 40").withColumn("phone", F.lit(None).cast("string"))
+    got = em.match_venues(left.unionByName(again), right, least=0.5).collect()
+    pairs = {(r.restaurant_id, r.place_id) for r in got}
+    assert len(got) == len(pairs) and len(pairs & {(i, f"p{i}") for i in range(n)}) >= 0.97 * n
