@@ -66,8 +66,8 @@ def likeness(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, km: float, size: float = 0.005) -> DataFrame:
-    """Rows of both sides (columns lat, lng; other names must differ) within ``km``, with ``km``.
+def grid_pairs(left: DataFrame, right: DataFrame, km: float, size: float = 0.005, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of both sides (columns lat, lng; other names must differ) within ``km``, with ``km``; of those, where there are ``keys`` (columns of both), the rows equal in them.
 
     Cells are probed three by three; in longitude as many as the latitude needs. The right side is replicated.
     Rows without known coordinates match nothing.
@@ -80,7 +80,7 @@ def grid_pairs(left: DataFrame, right: DataFrame, km: float, size: float = 0.005
     wide = F.ceil(km / (110.5 * F.cos(F.radians(F.least(F.lit(89.0), F.abs("r_lat") + size * rows)))) / size).cast("int")
     r = r.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("r_lat") / size) - rows, F.floor(F.col("r_lat") / size) + rows)))
     r = r.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("r_lng") / size) - wide, F.floor(F.col("r_lng") / size) + wide)))
-    return l.join(r, ["_cy", "_cx"]).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))).where(F.col("km") <= km).drop("_cy", "_cx")
+    return l.join(r, ["_cy", "_cx", *keys]).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))).where(F.col("km") <= km).drop("_cy", "_cx")
 
 
 def same_venue_edges(rows: DataFrame, km: float = 0.2, percent: float = 85.0) -> DataFrame:
@@ -152,14 +152,27 @@ def nearest_match(venues: DataFrame, places: DataFrame, km: float = 0.2, percent
     """(id, place_id, by_phone, km): for each venue the best place of the same venue.
 
     venues: id, name, phone, lat, lng; places: place_id, place_name, place_phones (last ten digits), lat, lng. A common
-    phone goes before a like name, then the smaller sum of coordinate differences, then the smaller place id.
+    phone goes before a like name, then the smaller sum of coordinate differences, then the smaller place id. Where only
+    equal names count, rows meet by name or phone within their cells, not all with all; of places that equal each other
+    in all that is asked, the smallest id stands for the others.
     """
     v = venues.select("id", F.lower(F.trim("name")).alias("n"), last_ten_digits(F.col("phone")).alias("p"), "lat", "lng")
-    c = grid_pairs(v, places.withColumn("pn", F.lower(F.trim("place_name"))), km)
+    q = places.withColumn("pn", F.lower(F.trim("place_name")))
+    if percent >= 100:
+        q = q.groupBy("pn", "place_phones", "lat", "lng").agg(F.min("place_id").alias("place_id"))
+        names = lambda c: F.when(F.col(c) != "", F.array(F.concat(F.lit("n"), c))).otherwise(F.array().cast("array<string>"))
+        phones = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit("p"), x))
+        keyed = lambda df, name, tails: df.withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.concat(names(name), phones(tails))))))
+        c = grid_pairs(keyed(v, "n", F.array("p")), keyed(q, "pn", F.col("place_phones")), km, keys=["_key"])
+    else:
+        c = grid_pairs(v, q, km)
     phone = F.coalesce(F.array_contains("place_phones", F.col("p")), F.lit(False))
     short, long = F.least(F.octet_length("n"), F.octet_length("pn")), F.octet_length("n") + F.octet_length("pn")
     c = c.withColumn("by_phone", phone).where(phone | ((F.col("n") != "") & (F.col("pn") != "") & (200.0 * short / long >= percent)))
     c = c.withColumn("_l1", F.abs(F.col("lat") - F.col("r_lat")) + F.abs(F.col("lng") - F.col("r_lng")))
-    c = c.where(F.col("by_phone") | (F.when(~F.col("by_phone") & (F.col("n") != F.col("pn")), likeness(F.col("n"), F.col("pn"))).otherwise(F.lit(100.0)) >= percent))
+    if percent >= 100:
+        c = c.where(F.col("by_phone") | (F.col("n") == F.col("pn")))
+    else:
+        c = c.where(F.col("by_phone") | (F.when(~F.col("by_phone") & (F.col("n") != F.col("pn")), likeness(F.col("n"), F.col("pn"))).otherwise(F.lit(100.0)) >= percent))
     best = F.struct((~F.col("by_phone")).alias("late"), F.col("_l1"), F.col("place_id"))
     return c.groupBy("id").agg(F.min_by(F.struct("place_id", "by_phone", "km"), best).alias("b")).select("id", "b.*")

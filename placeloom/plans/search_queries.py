@@ -385,8 +385,9 @@ def m12(spark, d):
     r, p = venue_pairs(spark, d)
     b = matching.nearest_match(r, p, percent=100.0).select("id", "place_id")
     pl = table(spark, d, "places").select(C("id").alias("place_id"), C("street").alias("address"), F.get("websites", 0).alias("website_url"), "operating_status", "datasets")
-    inc = b.join(pl, "place_id")
-    kept = table(spark, d, "restaurants").select("id", "address", "website_url", "field_sources").join(b.select("id"), "id", "left_semi")
+    # read three times below
+    inc, _ = materialize(b.join(pl, "place_id"), "directory")
+    kept = table(spark, d, "restaurants").select("id", "address", "website_url", "field_sources").join(inc.select("id"), "id", "left_semi")
     f = integration.filled_from(kept, inc.select("id", "address", "website_url"), "id", ["address", "website_url"], F.lit("directory"))
     return f.join(inc.select("id", "operating_status", "datasets"), "id").select("id", "address", "website_url", F.coalesce(C("operating_status") == "closed", F.lit(False)).alias("closed"), F.size(F.array_distinct(F.coalesce("datasets", F.array().cast("array<string>")))).cast("long").alias("sources"), F.array_join(F.array_sort(F.map_keys("field_sources")), ",").alias("noted"))
 

@@ -62,3 +62,24 @@ def test_merged(spark):
     got = {r.g: r for r in m.merged(df, "g", "ord", ["name", "price"], [("rating", "n")], ["tags"]).collect()}
     assert got[1].asDict() == {"g": 1, "name": "B", "price": "0", "rating": 4.5, "n": 9, "tags": ["x", "y"]}
     assert got[2].name is None and got[2].n == 7 and got[2].tags == []
+
+
+def test_equal_names_meet_within_their_key_only(spark):
+    rng = random.Random(3)
+    at = lambda: (40.0 + rng.gauss(0, 0.002), -100.0 + rng.gauss(0, 0.002))
+    names, phones = ["Blue Oven", " blue oven ", "Crane", "", None, "Otter"], ["5550001111", "5550002222", "5550003333", None]
+    v = [(i, rng.choice(names), rng.choice(phones), *at()) for i in range(80)] + [(900, "Crane", None, 0.0, -100.0), (901, "Crane", "5550001111", None, None)]
+    p = [(f"p{i}", rng.choice(names), rng.choice([[], None, [phones[0]], [phones[1], phones[2]]]), *at()) for i in range(80)]
+    p += [(f"{x[0]}-copy", *x[1:]) for x in p[:40]] + [(f"a{x[0]}", *x[1:]) for x in p[40:60]]
+    venues, places = spark.createDataFrame(v, "id long, name string, phone string, lat double, lng double"), spark.createDataFrame(p, "place_id string, place_name string, place_phones array<string>, lat double, lng double")
+    j = venues.where("lat <> 0").crossJoin(places.withColumnsRenamed({"lat": "la", "lng": "ln"}))
+    near = j.where(haversine_km(j.lat, j.lng, j.la, j.ln) <= 0.2).collect()
+    want: dict = {}
+    for r in near:
+        phone = r.phone is not None and r.phone in (r.place_phones or [])
+        if phone or ((r.name or "").strip() and r.name.strip().lower() == (r.place_name or "").strip().lower()):
+            want[r.id] = min(want.get(r.id, (2,)), (not phone, abs(r.lat - r.la) + abs(r.lng - r.ln), r.place_id))
+    out = m.nearest_match(venues, places, percent=100.0)
+    assert {r.id: (not r.by_phone, r.place_id) for r in out.collect()} == {i: (w[0], w[2]) for i, w in want.items()} and len(want) > 40
+    # rows that share a cell alone are not compared: the join asks for the key too
+    assert "_key" in next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x)
